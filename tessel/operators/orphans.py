@@ -11,6 +11,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +21,9 @@ WORDS = 1 << 12
 
 def _places(key: Column, bits: int, hashes: int) -> Column:
     """The bits of a key: double hashing over two 64-bit hashes."""
-    a, b = F.xxhash64(key), F.xxhash64(key, F.lit(1))
-    return F.array(*[F.pmod(a + F.lit(i).cast("long") * b, F.lit(bits).cast("long")) for i in range(hashes)])
+    n = F.lit(bits).cast("long")
+    a, b = F.pmod(F.xxhash64(key), n), F.pmod(F.xxhash64(key, F.lit(1)), n)
+    return F.array(*[F.pmod(a + b * i, n) for i in range(hashes)])
 
 
 def _marked(bits: int):
@@ -74,7 +76,8 @@ class BloomFilter:
             if known.any():
                 m = np.stack(places[known])
                 out[known] = ((packed.value[m >> 3] >> (7 - (m & 7)).astype(np.uint8)) & 1).all(axis=1)
-            return at.__class__(np.where(known, out, None), index=at.index)
+            out[~known] = None
+            return pd.Series(out, index=at.index)
 
         return held(F.when(key.isNotNull(), _places(key, self.bits, self.hashes)))
 
@@ -85,15 +88,14 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, share: int = 1000)
     Keys with more than 1/``share`` of the left rows are at most ``share``; their right rows are broadcast, so the rows of a hot key
     stay where they are. All others meet in a shuffle.
     """
-    left = left.withColumn("_known", F.col(key).isNotNull())
     counts = left.groupBy(key).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
     hot = [r[0] for r in counts.crossJoin(F.broadcast(total)).where(f"n * {share} > total and {key} is not null").select(key).collect()]
     if not hot:
-        return left.join(right, key, "left").drop("_known")
+        return left.join(right, key, "left")
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
     rest = left.where(~is_hot).join(right.where(~is_hot), key, "left")
-    return rest.unionByName(left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, "left")).drop("_known")
+    return rest.unionByName(left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, "left"))
 
 
 def orphan_references(refs: DataFrame, ref_key: str, at: str, parents: DataFrame, parent_key: str, usable: Column, since: str, until: str) -> DataFrame:
