@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from tessel.llm import bpe, density, knn, langid, mixing, split, vectors
 from tessel.llm.neardup import NearDuplicates
 from tessel.plans.registry import Registry
+from tessel.plans.staging import stage
 from tessel.sources.tables import table
 
 QUERIES = Registry()
+SIZE = 256
+MODEL = "brook-embed-2"
 
 
 def _near_duplicates(spark: SparkSession, folder: str) -> NearDuplicates:
@@ -26,3 +31,165 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Each chunk of 40 words or more with its group of near-duplicates."""
     return _near_duplicates(spark, folder).groups().withColumnRenamed("key", "rid")
+
+
+def _usable(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.usable_vectors(table(spark, folder, "vec", "rid", "model", "v").where(F.col("model") == MODEL), "rid", "v", SIZE)
+
+
+def _item_points(spark: SparkSession, folder: str) -> DataFrame:
+    """One row (key, v, digest) per item whose head chunk has a usable vector; key is the item's idx."""
+    items = table(spark, folder, "items", "idx", "project", "id").where("idx is not null").groupBy("idx").agg(F.min(F.struct("project", "id")).alias("c")).select("idx", "c.*")
+    rids = table(spark, folder, "chunks", "rid", "project", "id").groupBy("project", "id").agg(F.min("rid").alias("rid"))
+    return items.join(rids, ["project", "id"]).join(_usable(spark, folder).withColumnRenamed("key", "rid"), "rid").select(F.col("idx").alias("key"), "v", "digest")
+
+
+@QUERIES.add("p2_found")
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Each item and the next one of its cluster."""
+    labels = density.density_clusters(stage(_item_points(spark, folder), "points"), SIZE)
+    return density.next_in_group(labels, "peak", "key").select(F.col("key").alias("idx_a"), F.col("next").alias("idx_b"))
+
+
+#: Words that say nothing about a title. Fixed values.
+STOP = "the and for with from not when after before into this that are was its can our".split()
+
+
+@QUERIES.add("p2_clusters")
+def p2_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Clusters with size, label (the four most distinctive title words) and samples (the eight items nearest the centre)."""
+    points = stage(_item_points(spark, folder), "points")
+    labels = stage(density.density_clusters(points, SIZE), "labels")
+    near = density.centre_similarity(points, labels, SIZE)
+    first = W.partitionBy("peak").orderBy(F.desc("ctr"), "key")
+    samples = near.withColumn("n", F.row_number().over(first)).where("n <= 8").groupBy("peak").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("s"))
+    samples = samples.select("peak", F.to_json(F.col("s.key")).alias("samples"))
+    titles = table(spark, folder, "items", "idx", "title").groupBy("idx").agg(F.max("title").alias("title"))
+    bare = F.regexp_replace(F.lower("title"), r"^[^ ]+/[^ ]+( commit [0-9a-f]+)? ", "")
+    words = labels.join(titles, F.col("key") == F.col("idx")).select("peak", "key", F.explode(F.array_distinct(F.regexp_extract_all(bare, F.lit("[a-z][a-z0-9_.-]{2,}"), F.lit(0)))).alias("word"))
+    tf = words.where(~F.col("word").isin(STOP)).groupBy("peak", "word").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("word").agg(F.count("*").alias("df"))
+    sizes = labels.groupBy("peak").agg(F.count("*").alias("size"), F.min("key").alias("k"))
+    total = F.broadcast(sizes.agg(F.count("*").alias("clusters")))  # one row
+    score = F.col("tf") * F.log1p(F.col("clusters") / F.col("df"))
+    best = W.partitionBy("peak").orderBy(F.desc("score"), "word")
+    terms = tf.where("tf >= 3").join(df, "word").crossJoin(total).withColumn("score", score).withColumn("n", F.row_number().over(best)).where("n <= 4")
+    terms = terms.groupBy("peak").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "word"))), lambda x: x["word"]), ", ").alias("label"))
+    return sizes.join(terms, "peak", "left").join(samples, "peak", "left").select("k", "size", F.coalesce("label", F.lit("")).alias("label"), "samples")
+
+
+def _pieces(spark: SparkSession, folder: str, *carried: str) -> DataFrame:
+    chunks = table(spark, folder, "chunks", "rid", "text", "updated", "ingested", *carried)
+    return split.split_oversized(chunks, "rid", "text", list(carried), ["updated", "ingested"])
+
+
+#: A run is what lies between two boundary characters.
+_RUNS = r"list_max(list_transform(regexp_split_to_array(text, '[ \t\r\n。]'), lambda x: length(x)))"
+
+
+@QUERIES.add(
+    "p4_found",
+    rf"""SELECT rid, CASE WHEN {_RUNS} > 2400 THEN 'forced' ELSE 'natural' END AS cut FROM
+(SELECT rid, text FROM chunks WHERE rid IS NOT NULL QUALIFY row_number() OVER (PARTITION BY rid ORDER BY updated DESC NULLS LAST, ingested DESC NULLS LAST, length(text) DESC NULLS LAST) = 1)
+WHERE length(text) > 2400""",
+)
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks over the limit, and whether any cut had to be made within a run without boundaries."""
+    cut = F.when(F.bool_or("forced"), "forced").otherwise("natural").alias("cut")
+    return _pieces(spark, folder).groupBy("rid").agg(cut)
+
+
+@QUERIES.add("p4_pieces")
+def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces themselves, with ids that no other chunk has."""
+    pieces = _pieces(spark, folder, "project", "source", "doc", "id")
+    rows = split.fresh_ids(pieces, table(spark, folder, "chunks", "project", "id"), "project", "id")
+    return rows.select("rid", "project", "source", "doc", F.col("piece_id").alias("id"), "piece", "pieces", "start", "end", "lap", "forced", F.col("part").alias("text"))
+
+
+def _neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return knn.nearest_neighbours(stage(_usable(spark, folder), "points"), SIZE)
+
+
+@QUERIES.add("p5_found")
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of vectors with a cosine of at least 0.9, one being among the other's 8 most similar."""
+    near = _neighbours(spark, folder).where("sim >= 0.9")
+    return near.select(F.least("key", "to").alias("rid_a"), F.greatest("key", "to").alias("rid_b")).distinct()
+
+
+@QUERIES.add("p5_neighbours")
+def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 8 most similar vectors of every usable vector."""
+    return _neighbours(spark, folder).select(F.col("key").alias("rid"), F.col("to").alias("neighbour"), "sim", "rank")
+
+
+@QUERIES.add("p6_ids")
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """The token ids of every document."""
+    return bpe.encode_corpus(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+def _plan(spark: SparkSession, folder: str) -> tuple[DataFrame, list[mixing.Budget], int]:
+    docs = stage(bpe.with_token_count(table(spark, folder, "documents", "doc_id", "source", "text"), "text", ["doc_id", "source"]), "sizes")
+    plan, size = mixing.planned(docs, "source", "tokens", table(spark, folder, "mix_plan"))
+    return docs, plan, size
+
+
+@QUERIES.add("p7_found")
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources of the plan that cannot reach their share."""
+    _, plan, _ = _plan(spark, folder)
+    return spark.createDataFrame([(b.source,) for b in plan if not b.reached], "source string")
+
+
+def _mixed(docs: DataFrame, plan: list[mixing.Budget]) -> DataFrame:
+    return mixing.realise(docs.withColumn("source", F.lower(F.trim("source"))), "doc_id", "source", "tokens", plan)
+
+
+@QUERIES.add("p7_mix")
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The mix: one row for each use of a document."""
+    docs, plan, _ = _plan(spark, folder)
+    return _mixed(docs, plan).select("source", F.col("key").alias("doc_id"), "turn", "tokens")
+
+
+@QUERIES.add("p7_shares")
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares really reached, of the mix and of the size that was planned, and by source the exponent and its repetitions."""
+    docs, plan, size = _plan(spark, folder)
+    used = _mixed(docs, plan).groupBy("source").agg(F.sum("tokens").alias("used"), F.max("turn").alias("turns"))
+    terms = spark.createDataFrame([(b.source, b.weight, b.max_repeat, b.tokens, b.exponent, b.reached, b.budget) for b in plan], "source string, weight double, max_repeat int, tokens long, exponent double, reached boolean, budget double")
+    rows = terms.join(used, "source", "left").select(*terms.columns, F.coalesce("used", F.lit(0)).alias("used"), F.coalesce("turns", F.lit(0)).alias("turns"))
+    whole = F.sum("used").over(W.partitionBy())  # one row a source of the plan
+    return rows.withColumn("share", F.when(whole > 0, F.col("used") / whole)).withColumn("share_of_plan", F.col("used") / F.lit(float(size or 1)))
+
+
+@QUERIES.add("p7_temperature")
+def p7_temperature(spark: SparkSession, folder: str) -> DataFrame:
+    """All named sources by one exponent, bisected so that the shares have the plan's entropy."""
+    docs, plan, _ = _plan(spark, folder)
+    rows = mixing.source_tokens(docs, "source", "tokens").where("source is not null and tokens > 0").orderBy("source").collect()  # one row a source
+    a = mixing.entropy_exponent([r.tokens for r in rows], mixing.entropy([b.weight for b in plan]))
+    total = sum(r.tokens**a for r in rows)
+    return spark.createDataFrame([(r.source, r.tokens, a, r.tokens**a / total) for r in rows], "source string, tokens long, exponent double, share double")
+
+
+def _languages(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text", "lang")
+    model = langid.fit(docs, "doc_id", "text", "lang", table(spark, folder, "lang_review", "doc_id", "lang"))
+    return langid.document_languages(docs, "doc_id", "text", model)
+
+
+@QUERIES.add("p8_found")
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Stretches of mixed documents, and documents of one language whose label is wrong or missing."""
+    labels = table(spark, folder, "documents", "doc_id", "lang").select("doc_id", F.regexp_extract(F.lower(F.trim("lang")), "^([^-_]*)", 1).alias("label"))
+    rows = _languages(spark, folder).withColumnRenamed("key", "doc_id").join(labels, "doc_id")
+    return rows.where(~((F.col("segs") == 1) & F.col("lang").eqNullSafe(F.col("label")))).select("doc_id", F.col("seg").cast("long").alias("seg"), "lang")
+
+
+@QUERIES.add("p8_languages")
+def p8_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with prose and each stretch of a mixed one, with language and confidence."""
+    return _languages(spark, folder).withColumnRenamed("key", "doc_id")
