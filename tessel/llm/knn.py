@@ -37,6 +37,13 @@ class Forest:
         self.shares = np.array(sizes) / max(1, len(sample))
         self.visits = np.zeros(len(sizes))
 
+    @staticmethod
+    def of(state: dict) -> Forest:
+        """A forest from its plain values, which is how it is broadcast."""
+        f = Forest.__new__(Forest)
+        f.__dict__.update(state)
+        return f
+
     def _grow(self, x: np.ndarray, rows: np.ndarray, leaf: int, rng, sizes: list[int]) -> int:
         if len(rows) <= leaf:
             sizes.append(len(rows))
@@ -99,7 +106,7 @@ def _routed(forest, size: int, rows: int, candidates: int, member_parts, visitor
     """Rows (leaf, mpart, vpart, member, visitor, key, v) for the index and the queries, one for both where they coincide."""
 
     def run(batches):
-        f, mp, vp = forest.value, member_parts, visitor_parts
+        f, mp, vp = Forest.of(forest.value), member_parts, visitor_parts
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -183,7 +190,7 @@ def nearest_neighbours(
     member_parts = np.maximum(1, np.ceil(forest.shares * n / cap)).astype(int)
     visitor_parts = np.maximum(1, np.ceil(forest.visits / max(1, min(2048, len(fitted))) * n / (4 * cap))).astype(int)
     routed = reps.mapInArrow(
-        _routed(spark.sparkContext.broadcast(forest), size, n, candidates, member_parts, visitor_parts),
+        _routed(spark.sparkContext.broadcast(vars(forest)), size, n, candidates, member_parts, visitor_parts),
         "leaf int, mpart int, vpart int, member boolean, visitor boolean, key long, v binary",
     )
     met = routed.groupBy("leaf", "mpart", "vpart").applyInArrow(_nearest(size, k), "key long, to long, sim double")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ from pyspark.sql import Window as W
 
 FENCE = re.compile(r"(```|~~~).*?(?:\1|\Z)", re.S)
 INLINE = re.compile(r"`[^`\n]*`")
-LINK = re.compile(r"!?\[([^\]\n]*)\]\([^)\s]*\)|<?\b(?:https?|ftp)://\S+|\bwww\.\S+|\S+@\S+\.\w+|<\|[^|<>]*\|>|</?\w[^<>\n]*>")
+LINK = re.compile(r"!?\[([^\]\n]*)\]\([^)\s]*\)|<?\b(?:https?|ftp)://\S+|\bwww\.\S+|\S+@\S+\.\w+|<\|[^|<>]*\|>|</?\w[^<>\n]*>", re.I)
 LOG = re.compile(r"^\W*(?:\d{4}-\d\d-\d\d[T ])?\d\d:\d\d:\d\d\b|^\s*(?:TRACE|DEBUG|INFO|WARN|ERROR)\b|^\s*at [\w.$]+\(")
 HUNK = re.compile(r"^\s*(?:@@|diff --git|index [0-9a-f]+\.\.|\+\+\+ |--- |\S+/\S+\s+\|\s+\d+)")
 CODE = re.compile(
@@ -34,7 +35,7 @@ MARK = re.compile(r"^\s*(?:>\s*)*(?:[-*+•]\s+|\d+[.)]\s+|#{1,6}\s+)?")
 HEAD = re.compile(r"^\s*(?:>\s*)*#{1,6}\s")
 ITEM = re.compile(r"^\s*(?:>|[-*+•]\s|\d+[.)]\s|#{1,6}\s)")
 SENTENCE = re.compile(r"(?<=[.!?…])[\"'»”)\]]*\s+|(?<=[。！？])\s*|\s/\s(?:>\s)?")
-TOKEN = re.compile(r"\w+(?:['’]\w+)*(?:\(\))?|[^\w\s]")
+TOKEN = re.compile(r"\w+(?:['’]\w+)*(?:\(\))?")
 HIGH = re.compile(r"[\u0080-\u00ff\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013-\u2022\u2026\u2030\u2039\u203a\u20ac\u2122]{2,}")
 CJK = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 
@@ -47,47 +48,52 @@ def _repaired(m: re.Match) -> str:
         return m.group()
 
 
-def words_of(sentence: str) -> list[str]:
-    """Words in lower case, without identifiers; text without blanks gives its single characters and their pairs."""
-    out = []
-    for t in TOKEN.findall(sentence):
-        if len(t) == 1 and not t.isalpha() or t.endswith("()") or "_" in t or any(c.isdigit() for c in t):
-            continue
-        if CJK.search(t):
-            out += t
-            out += [t[i : i + 2] for i in range(len(t) - 1)]
-        elif t.isupper() or t[1:].islower() or len(t) == 1 or "'" in t or "’" in t:
-            out += re.split("['’]", t.lower())
-        elif not any(c.isupper() for c in t[1:]):
-            out.append(t.lower())
-    return [w for w in out if w]
-
-
-def sentences(text: str | None, least: int = 4, least_cjk: int = 8) -> list[str]:
-    """The sentences of a text's prose, in order: no code, logs, links, headings, identifiers, nor greetings and other short ones."""
+CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
+UNSEEN = re.compile(r"[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
+#: Stands for inline code and links, which count as words of a sentence but say nothing about its language.
+GAP = "0"
+
+
+def words_of(token: str) -> list[str]:
+    """A token's words in lower case, none for an identifier; of text without blanks its characters and their pairs."""
+    if len(token) == 1 and not token.isalpha() or token.endswith("()") or "_" in token or any(c.isdigit() for c in token):
+        return []
+    if CJK.search(token):
+        return [*token, *(token[i : i + 2] for i in range(len(token) - 1))]
+    if token.isupper() or token[1:].islower() or len(token) == 1 or "'" in token or "’" in token:
+        return [w for w in re.split("['’]", token.lower()) if w]
+    return [] if any(c.isupper() for c in token[1:]) else [token.lower()]
+
+
+def sentences(text: str | None, least: int = 4, least_cjk: int = 8) -> list[list[str]]:
+    """The sentences of a text's prose, in order, as tokens: no code, logs, links, headings, lone identifiers, nor greetings.
+
+    A sentence has ``least`` tokens or more, inline code counted, of which three are words; or ``least_cjk`` characters of a script
+    without blanks.
+    """
     if not text:
         return []
     if HIGH.search(text):
         text = HIGH.sub(_repaired, text)
-    text = unicodedata.normalize("NFKC", text).replace("\r\n", "\n").replace("\r", "\n")
-    text = "".join(c if c in "\n\t" or unicodedata.category(c)[0] != "C" else "" if unicodedata.category(c) == "Cf" else " " for c in text) if not text.isprintable() else text
-    text = LINK.sub(lambda m: f" {m.group(1) or ''} ", INLINE.sub(" ", FENCE.sub("\n\n", text)))
+    text = UNSEEN.sub("", unicodedata.normalize("NFKC", text)).replace("\r\n", "\n").replace("\r", "\n")
+    text = LINK.sub(lambda m: f" {m.group(1) or ''} ", INLINE.sub(f" {GAP} ", FENCE.sub("\n\n", CONTROL.sub(" ", text))))
     blocks, block = [], []
     for line in text.split("\n"):
         bare = line.strip()
-        drop = LOG.search(line) or HUNK.search(line) or CODE.search(line) or HEAD.match(line) and len(bare.split()) < 6
+        drop = bare and (LOG.search(line) or HUNK.search(line) or CODE.search(line) or HEAD.match(line) and len(bare.split()) < 6)
         if not bare or drop or ITEM.match(line):
-            blocks.append(" ".join(block))
-            block = []
+            if block:
+                blocks.append(" ".join(block))
+                block = []
         if bare and not drop:
             block.append(MARK.sub("", line, count=1).strip())
     blocks.append(" ".join(block))
     out = []
     for b in blocks:
         for s in SENTENCE.split(b) if b else ():
-            cjk = len(CJK.findall(s))
-            if cjk >= least_cjk or not cjk and sum(w.isalpha() for w in words_of(s)) >= least:
-                out.append(s)
+            t = TOKEN.findall(s)
+            if sum(len(x) for x in t if CJK.search(x)) >= least_cjk if CJK.search(s) else len(t) >= least and sum(len(x) > 1 and x.isalpha() for x in t) >= 3:
+                out.append(t)
     return out
 
 
@@ -104,79 +110,93 @@ class Model:
     table: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
+    #: Words met at least twice in training; others, which are often invented names, have the weight RARE.
+    common: frozenset[str] = frozenset()
     temperature: float = 1.0
     accept: float = 0.5
 
     def scorer(self, memory: int = 300_000):
-        """A function from a sentence to its probabilities; words' sums of embeddings are kept, up to ``memory`` of them."""
-        known: dict[str, tuple[np.ndarray, int]] = {}
-
-        def score(sentence: str) -> np.ndarray:
-            total, n = np.zeros(self.table.shape[1], np.float64), 0
-            for w in words_of(sentence):
-                got = known.get(w)
+        """A function from a sentence's tokens to probabilities; tokens' contributions are kept, up to ``memory`` of them."""
+        known: dict[str, np.ndarray] = {}
+        n = len(self.langs)
+
+        def contribution(token: str) -> np.ndarray:
+            out = np.zeros(n + 1)
+            for w in words_of(token):
+                g = grams(w, len(self.table))
+                share = 1.0 if w in self.common else RARE
+                out[:n] += share * (self.table[g].sum(axis=0) @ self.weights)
+                out[n] += share * len(g)
+            return out
+
+        def score(tokens: list[str]) -> np.ndarray:
+            total = np.zeros(n + 1)
+            for t in tokens:
+                got = known.get(t)
                 if got is None:
-                    g = grams(w, len(self.table))
-                    got = self.table[g].sum(axis=0).astype(np.float64), len(g)
                     if len(known) >= memory:
                         known.clear()
-                    known[w] = got
-                total += got[0]
-                n += got[1]
-            z = (total / max(1, n) @ self.weights + self.bias) / self.temperature
+                    got = known[t] = contribution(t)
+                total += got
+            z = (total[:n] / max(total[n], 1e-9) + self.bias) / self.temperature
             p = np.exp(z - z.max())
             return p / p.sum()
 
         return score
 
 
-def train(rows: list[tuple[str, str]], langs: list[str], dims: int = 16, buckets: int = 1 << 16, epochs: int = 6, rate: float = 1.0, seed: int = 3) -> Model:
-    """Fits a model on (sentence, language) rows, each language with the same weight."""
+RARE = 0.2
+
+
+def train(rows: list[tuple[list[str], str]], langs: list[str], dims: int = 16, buckets: int = 1 << 16, epochs: int = 4, rate: float = 1.5, batch: int = 64, seed: int = 3) -> Model:
+    """Fits a model on (tokens, language) rows, each language with the same weight."""
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / dims, 1 / dims, (buckets, dims)).astype(np.float32)
     weights, bias = np.zeros((dims, len(langs)), np.float32), np.zeros(len(langs), np.float32)
-    cache: dict[str, list[int]] = {}
-    feats = []
-    for s, _ in rows:
-        g: list[int] = []
-        for w in words_of(s):
-            g += cache.setdefault(w, None) or cache.__setitem__(w, grams(w, buckets)) or cache[w]
-        feats.append(np.array(g or [0], np.int64))
+    words = [[w for t in s for w in words_of(t)] for s, _ in rows]
+    counts = Counter(w for x in words for w in x)
+    common = frozenset(w for w, k in counts.items() if k > 1)
+    cache = {w: (np.array(grams(w, buckets)), 1.0 if w in common else RARE) for w in counts}
+    feats, shares = [], []
+    for x in words:
+        got = [cache[w] for w in x] or [(np.zeros(1, np.int64), RARE)]
+        feats.append(np.concatenate([g for g, _ in got]))
+        share = np.concatenate([np.full(len(g), k, np.float32) for g, k in got])
+        shares.append(share / share.sum())
     y = np.array([langs.index(lang) for _, lang in rows], np.int64)
-    share = np.bincount(y, minlength=len(langs))
-    cost = (len(y) / np.maximum(share, 1) / max(1, (share > 0).sum()))[y].astype(np.float32)
-    steps, done, size = max(1, epochs * -(-len(rows) // 32)), 0, 32
+    often = np.bincount(y, minlength=len(langs))
+    cost = np.minimum(len(y) / np.maximum(often, 1) / max(1, (often > 0).sum()), 10)[y].astype(np.float32)
+    steps, done = max(1, epochs * -(-len(rows) // batch)), 0
     for _ in range(epochs):
         order = rng.permutation(len(rows))
-        for at in range(0, len(order), size):
-            b = order[at : at + size]
+        for at in range(0, len(order), batch):
+            b = order[at : at + batch]
             lengths = np.array([len(feats[i]) for i in b])
-            flat = np.concatenate([feats[i] for i in b])
-            ends = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            h = np.add.reduceat(table[flat], ends) / lengths[:, None]
+            flat, share = np.concatenate([feats[i] for i in b]), np.concatenate([shares[i] for i in b])
+            h = np.add.reduceat(table[flat] * share[:, None], np.concatenate([[0], np.cumsum(lengths)[:-1]]))
             z = h @ weights + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(b)), y[b]] -= 1
-            p *= np.minimum(cost[b], 10)[:, None]
+            p *= cost[b][:, None]
             step = rate * (1 - done / steps)
-            back = p @ weights.T
+            back = -step * (p @ weights.T)
             weights -= step / len(b) * (h.T @ p)
             bias -= step / len(b) * p.sum(axis=0)
-            np.add.at(table, flat, np.repeat(-step * back / lengths[:, None], lengths, axis=0).astype(np.float32))
+            np.add.at(table, flat, np.repeat(back, lengths, axis=0) * share[:, None])
             done += 1
-    return Model(langs, table, weights, bias)
+    return Model(langs, table, weights, bias, common)
 
 
-def robust_train(rows: list[tuple[str, str]], langs: list[str], rounds: int = 2) -> Model:
-    """``train``, repeated without the sentences of which the model is sure that they are in another language."""
+def robust_train(rows: list[tuple[list[str], str]], langs: list[str], rounds: int = 2) -> Model:
+    """``train``, repeated without the sentences that the model finds twice as likely in another language as in their label's."""
     model = train(rows, langs)
     for _ in range(rounds):
         score = model.scorer()
         kept = []
         for s, lang in rows:
             p = score(s)
-            if langs[int(p.argmax())] == lang or p.max() < 0.5:
+            if p.max() <= 2 * p[langs.index(lang)]:
                 kept.append((s, lang))
         if len({lang for _, lang in kept}) < len(langs):
             break
@@ -184,7 +204,7 @@ def robust_train(rows: list[tuple[str, str]], langs: list[str], rounds: int = 2)
     return model
 
 
-def calibrate(model: Model, rows: list[tuple[str, str]], error: float = 0.005) -> Model:
+def calibrate(model: Model, rows: list[tuple[list[str], str]], error: float = 0.005) -> Model:
     """Sets the temperature with the least cross entropy on reviewed sentences, and the least confidence accepted.
 
     Sentences above that confidence are wrong in at most ``error`` of the cases; with no reviewed sentences the defaults stay.
@@ -212,32 +232,48 @@ def calibrate(model: Model, rows: list[tuple[str, str]], error: float = 0.005) -
     return model
 
 
+def smoothed(scores: list[np.ndarray], accept: float, switch: float = 3.0) -> list[int]:
+    """The likeliest language of each sentence where a change of language costs ``switch``; rejected sentences have no say."""
+    p = np.log(np.maximum(np.stack(scores), 1e-4))
+    p[np.stack(scores).max(axis=1) < accept] = 0
+    best, back = p[0], []
+    for row in p[1:]:
+        top = int(best.argmax())
+        stay = best >= best[top] - switch
+        back.append(np.where(stay, np.arange(len(best)), top))
+        best = np.where(stay, best, best[top] - switch) + row
+    path = [int(best.argmax())]
+    for step in reversed(back):
+        path.append(int(step[path[-1]]))
+    return path[::-1]
+
+
 def stretches(scores: list[np.ndarray], accept: float) -> list[tuple[int, int, int, float]]:
     """(language, first, last, confidence) of each stretch, from the probabilities of a text's sentences in order.
 
-    Rejected sentences belong to the stretch around them. A stretch needs two accepted sentences of one language; a single one between
-    others is no stretch. With no stretch at all, the language of the greatest total is the whole text's.
+    A stretch needs two sentences; a single one between others is no stretch. With no stretch at all, the language of the greatest
+    total is the whole text's.
     """
     if not scores:
         return []
     runs: list[list[int]] = []
-    for i, p in enumerate(scores):
-        if p.max() >= accept:
-            if runs and int(scores[runs[-1][0]].argmax()) == int(p.argmax()):
-                runs[-1].append(i)
-            else:
-                runs.append([i])
+    path = smoothed(scores, accept)
+    for i, k in enumerate(path):
+        if runs and path[runs[-1][-1]] == k:
+            runs[-1].append(i)
+        else:
+            runs.append([i])
     merged: list[list[int]] = []
     for r in (r for r in runs if len(r) >= 2):
-        if merged and scores[merged[-1][0]].argmax() == scores[r[0]].argmax():
+        if merged and path[merged[-1][0]] == path[r[0]]:
             merged[-1] += r
         else:
             merged.append(list(r))
     if not merged:
-        total = np.mean([np.log(np.maximum(p, 1e-9)) for p in scores], axis=0)
+        total = np.mean([np.log(np.maximum(p, 1e-4)) for p in scores], axis=0)
         k = int(total.argmax())
         return [(k, 0, len(scores) - 1, float(np.mean([p[k] for p in scores])))]
-    return [(k := int(scores[r[0]].argmax()), r[0], r[-1], float(np.mean([scores[i][k] for i in r]))) for r in merged]
+    return [(path[r[0]], r[0], r[-1], float(np.mean([scores[i][path[r[0]]] for i in r]))) for r in merged]
 
 
 def bare_label(label: Column) -> Column:
@@ -246,7 +282,7 @@ def bare_label(label: Column) -> Column:
     return F.when(code.rlike("^[a-z]{2}$"), code)
 
 
-def fit(docs: DataFrame, key: str, text: str, label: str, reviewed: DataFrame, per_label: int = 600, per_document: int = 4, reviews: int = 3000) -> Model:
+def fit(docs: DataFrame, key: str, text: str, label: str, reviewed: DataFrame, per_label: int = 600, per_document: int = 5, reviews: int = 3000) -> Model:
     """Trains on at most ``per_label`` documents of each label, the first by a hash of the key, and calibrates on ``reviews`` at most.
 
     ``reviewed`` has rows (key, lang). A language is a label that at least one in 400 labelled documents has, three at least.
@@ -272,7 +308,7 @@ def fit(docs: DataFrame, key: str, text: str, label: str, reviewed: DataFrame, p
 
 def _labelled(model, key: str, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
+        m = Model(**model.value)
         score = m.scorer()
         for batch in batches:
             rows, cols = [], [[] for _ in range(5)]
@@ -296,5 +332,5 @@ def document_languages(docs: DataFrame, key: str, text: str, model: Model) -> Da
     shuffle.
     """
     kind = docs.schema[key].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
     return docs.where(F.length(F.trim(text)) > 0).select(key, text).mapInArrow(_labelled(shared, key, text), f"key {kind}, seg int, segs int, sentences int, lang string, confidence double")
