@@ -1,0 +1,31 @@
+"""The queries of the subpackage: columns, and SQL where there is any."""
+
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from oracle import assert_same, connect  # noqa: E402
+
+from tessel.llm.queries import QUERIES  # noqa: E402
+
+FOLDER = "/root/testdata/sf0.001"
+COLUMNS = {
+    "p1_found": ["rid_a", "rid_b"],
+    "p2_found": ["idx_a", "idx_b"],
+    "p4_found": ["rid", "cut"],
+    "p5_found": ["rid_a", "rid_b"],
+    "p6_ids": ["doc_id", "ids"],
+    "p7_found": ["source"],
+    "p8_found": ["doc_id", "seg", "lang"],
+}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_runs(spark, name):
+    df = QUERIES[name].run(spark, FOLDER)
+    assert df.columns == COLUMNS.get(name, df.columns) and df.count() >= 0
+    if QUERIES[name].sql:
+        assert_same(df, connect(FOLDER), QUERIES[name].sql)
