@@ -148,8 +148,8 @@ class Model:
 RARE = 0.2
 
 
-def train(rows: list[tuple[list[str], str]], langs: list[str], dims: int = 16, buckets: int = 1 << 16, epochs: int = 4, rate: float = 1.5, batch: int = 64, seed: int = 3) -> Model:
-    """Fits a model on (tokens, language) rows, each language with the same weight."""
+def train(rows: list[tuple[list[str], str]], langs: list[str], dims: int = 16, buckets: int = 1 << 16, steps: int = 1000, rate: float = 1.5, batch: int = 64, seed: int = 3) -> Model:
+    """Fits a model on (tokens, language) rows, each language with the same weight, in as many epochs as ``steps`` batches need."""
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / dims, 1 / dims, (buckets, dims)).astype(np.float32)
     weights, bias = np.zeros((dims, len(langs)), np.float32), np.zeros(len(langs), np.float32)
@@ -166,7 +166,8 @@ def train(rows: list[tuple[list[str], str]], langs: list[str], dims: int = 16, b
     y = np.array([langs.index(lang) for _, lang in rows], np.int64)
     often = np.bincount(y, minlength=len(langs))
     cost = np.minimum(len(y) / np.maximum(often, 1) / max(1, (often > 0).sum()), 10)[y].astype(np.float32)
-    steps, done = max(1, epochs * -(-len(rows) // batch)), 0
+    epoch = -(-len(rows) // batch)
+    epochs, done = max(2, -(-steps // max(1, epoch))), 0
     for _ in range(epochs):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), batch):
@@ -179,7 +180,7 @@ def train(rows: list[tuple[list[str], str]], langs: list[str], dims: int = 16, b
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(b)), y[b]] -= 1
             p *= cost[b][:, None]
-            step = rate * (1 - done / steps)
+            step = rate * (1 - done / (epochs * epoch))
             back = -step * (p @ weights.T)
             weights -= step / len(b) * (h.T @ p)
             bias -= step / len(b) * p.sum(axis=0)
@@ -251,7 +252,7 @@ def smoothed(scores: list[np.ndarray], accept: float, switch: float = 3.0) -> li
 def stretches(scores: list[np.ndarray], accept: float) -> list[tuple[int, int, int, float]]:
     """(language, first, last, confidence) of each stretch, from the probabilities of a text's sentences in order.
 
-    A stretch needs two sentences; a single one between others is no stretch. With no stretch at all, the language of the greatest
+    A stretch needs two accepted sentences; a single one between others is no stretch. With no stretch at all, the language of the greatest
     total is the whole text's.
     """
     if not scores:
@@ -264,7 +265,8 @@ def stretches(scores: list[np.ndarray], accept: float) -> list[tuple[int, int, i
         else:
             runs.append([i])
     merged: list[list[int]] = []
-    for r in (r for r in runs if len(r) >= 2):
+    agrees = [int(p.argmax()) == k and p.max() >= accept for p, k in zip(scores, path)]
+    for r in (r for r in runs if sum(agrees[i] for i in r) >= 2):
         if merged and path[merged[-1][0]] == path[r[0]]:
             merged[-1] += r
         else:

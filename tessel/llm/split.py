@@ -92,6 +92,8 @@ def cuts(text: str, limit: int = 2400, overlap: int = 200) -> list[tuple[int, in
             else:
                 end, forced = high, True
         out.append((max(at - lap, end - limit), end, forced))
+        if end == n:
+            return out
         at = end
 
 

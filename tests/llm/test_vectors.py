@@ -16,7 +16,7 @@ def frame(spark, rows):
     return vectors.usable_vectors(spark.createDataFrame([(k, v, "a", "b") for k, v in rows], SCHEMA), "rid", "v", SIZE)
 
 
-def planted(seed=1, clusters=12, each=30, noise=0.12):
+def planted(seed=1, clusters=12, each=30, noise=0.06):
     rng = np.random.default_rng(seed)
     centres = np.linalg.qr(rng.normal(size=(SIZE, SIZE)))[0][:clusters]
     rows = []
