@@ -1,9 +1,10 @@
 """The k most similar vectors of every vector: a forest of random-projection trees and exact reranking.
 
-Each tree splits a bounded sample by hyperplanes halfway between two of its points until few are left; the forest is all that is
-broadcast. Every vector is indexed in one leaf of each tree. As a query it walks all trees through one priority queue, whose entries
+Each tree splits a bounded sample along the line between two of its points until few are left: of several random lines the one, and on
+it the place near the middle, with the fewest points close by, so that groups are seldom cut. The forest is all that is broadcast.
+Every vector is indexed in one leaf of each tree. As a query it walks all trees through one priority queue, whose entries
 are ranked by the smallest signed distance to the hyperplanes on their way, and visits leaves until they hold ``candidates`` vectors.
-A leaf's members and visitors meet in one task, which computes exact cosines as a matrix product and keeps the k best.
+How many that takes is measured on the sample against brute force, for a stated recall. A leaf's members and visitors meet in one task, which computes exact cosines as a matrix product and keeps the k best.
 
 Leaves that hold or attract more rows than ``cap`` are cut into parts by a hash of the key, members against visitors part by part,
 so no task grows with the data and no candidate is dropped. Equal vectors are indexed once and take part through their first copies.
@@ -44,30 +45,53 @@ class Forest:
         f.__dict__.update(state)
         return f
 
-    def _grow(self, x: np.ndarray, rows: np.ndarray, leaf: int, rng, sizes: list[int]) -> int:
-        if len(rows) <= leaf:
+    def _grow(self, x: np.ndarray, rows: np.ndarray, leaf: int, rng, sizes: list[int], lines: int = 24, width: float = 0.04) -> int:
+        best = None
+        if len(rows) > leaf:
+            part = rows if len(rows) <= 2048 else rng.choice(rows, 2048, replace=False)
+            for _ in range(lines):
+                a, b = x[rng.choice(rows, 2, replace=False)]
+                w = a - b
+                length = float(np.linalg.norm(w))
+                if length < 1e-6:
+                    continue
+                w = w / length
+                along = np.sort(x[part] @ w)
+                low, high = len(along) // 4, max(3 * len(along) // 4, len(along) // 4 + 1)
+                middle = along[low:high]
+                close = np.searchsorted(along, middle + width) - np.searchsorted(along, middle - width)
+                i = int(close.argmin())
+                if best is None or close[i] < best[0]:
+                    best = int(close[i]), w, float(along[low + i] + along[min(low + i + 1, len(along) - 1)]) / 2
+        side = x[rows] @ best[1] > best[2] if best else np.zeros(len(rows), bool)
+        if not 0 < side.sum() < len(rows):  # few enough, or all the same
             sizes.append(len(rows))
             return ~(len(sizes) - 1)
-        a, b = x[rng.choice(rows, 2, replace=False)]
-        w = a - b
-        along = x[rows] @ w
-        at = (a @ w + b @ w) / 2
-        side = along > at
-        if not 0.1 < side.mean() < 0.9:
-            at = np.median(along)
-            side = along > at
-            if not 0 < side.sum() < len(rows):  # all the same along this direction
-                sizes.append(len(rows))
-                return ~(len(sizes) - 1)
         me = len(self.offsets)
-        length = max(float(np.linalg.norm(w)), 1e-12)
-        self.normals.append(w / length)
-        self.offsets.append(at / length)
+        self.normals.append(best[1])
+        self.offsets.append(best[2])
         self.children.append(None)
         left = self._grow(x, rows[~side], leaf, rng, sizes)
         self.children[me] = (left, self._grow(x, rows[side], leaf, rng, sizes))
         return me
 
+    def tune(self, sample: np.ndarray, rows: int, k: int, recall: float, queries: int = 400, most: float = 20_000) -> float:
+        """How many of ``rows`` candidates a search must see to find this share of the k best, measured within the sample."""
+        if len(sample) <= k + 1:
+            return most
+        own = [m for i in range(0, len(sample), 512) for m in self.search(sample[i : i + 512], 0, rows)[0]]
+        step = max(1, len(sample) // queries)
+        at = np.arange(0, len(sample), step)
+        s = sample[at] @ sample.T
+        s[np.arange(len(at)), at] = -9
+        best = np.argpartition(-s, k, axis=1)[:, :k]
+        weight = self.shares * rows
+        needed = []
+        for q, seen in enumerate(self.search(sample[at], most, rows)[1]):
+            upto = dict(zip(seen, np.cumsum(weight[seen])))
+            needed += [min(upto.get(leaf, np.inf) for leaf in own[j]) for j in best[q]]
+        return float(min(most, np.sort(needed)[min(len(needed) - 1, int(recall * len(needed)))]))
+
     def search(self, u: np.ndarray, candidates: float, rows: int) -> tuple[list[list[int]], list[list[int]]]:
         """For each vector the leaves it is a member of, and those it visits to see ``candidates`` of ``rows`` indexed vectors."""
         margins = u @ self.normals.T - self.offsets if len(self.offsets) else np.zeros((len(u), 0), np.float32)
@@ -102,7 +126,7 @@ class Forest:
         return members, visits
 
 
-def _routed(forest, size: int, rows: int, candidates: int, member_parts, visitor_parts):
+def _routed(forest, size: int, rows: int, candidates: float, member_parts, visitor_parts):
     """Rows (leaf, mpart, vpart, member, visitor, key, v) for the index and the queries, one for both where they coincide."""
 
     def run(batches):
@@ -170,12 +194,13 @@ def _top(k: int):
 
 
 def nearest_neighbours(
-    points: DataFrame, size: int, k: int = 8, trees: int = 4, leaf: int = 256, candidates: int = 1500, sample: int = 32768, min_sample_leaf: int = 16, cap: int = 4096
+    points: DataFrame, size: int, k: int = 8, trees: int = 4, leaf: int = 256, recall: float = 0.94, candidates: float | None = None, sample: int = 32768, min_sample_leaf: int = 16, cap: int = 4096
 ) -> DataFrame:
     """Rows (key, to, sim, rank): the ``k`` most similar other points of each point of ``usable_vectors`` form.
 
     ``leaf`` is the aimed number of rows in a leaf; the trees are fitted on at most ``sample`` rows, the first by a hash of the key,
-    and every row is indexed. Equal similarities go to the smaller key. A point has fewer than ``k`` rows only where there are not so
+    and every row is indexed. ``recall`` is the share of true neighbours aimed at, from which the number of candidates is found unless
+    ``candidates`` gives it. Equal similarities go to the smaller key. A point has fewer than ``k`` rows only where there are not so
     many others; with no or one point the result is empty.
     """
     spark = points.sparkSession
@@ -185,6 +210,8 @@ def nearest_neighbours(
     got = reps.orderBy(F.xxhash64("key"), "key").limit(sample).select("v").collect()
     fitted = decode([bytes(r.v) for r in got], size)
     forest = Forest(fitted, trees, max(min_sample_leaf, leaf * len(got) // max(1, n)))
+    if candidates is None:
+        candidates = forest.tune(fitted, n, k, recall)
     for seen in forest.search(fitted[:2048], candidates, n)[1]:
         forest.visits[seen] += 1
     member_parts = np.maximum(1, np.ceil(forest.shares * n / cap)).astype(int)
