@@ -15,7 +15,7 @@ def filled_series(df: DataFrame, time: str, kind: str, unit: str) -> DataFrame:
     n = df.where(F.col(time).isNotNull() & F.col(kind).isNotNull()).groupBy(F.to_date(F.date_trunc(unit, F.col(time))).alias("bucket"), kind).agg(F.count("*").alias("n"))
     step = F.expr("interval 1 day" if unit == "day" else "interval 7 days")
     days = n.agg(F.min("bucket").alias("a"), F.max("bucket").alias("b")).where("a is not null").select(F.explode(F.sequence("a", "b", step)).alias("bucket"))
-    grid = days.crossJoin(F.broadcast(n.select(kind).distinct()))
+    grid = days.crossJoin(n.select(kind).distinct())
     return grid.join(n, ["bucket", kind], "left").select(F.date_format("bucket", "yyyy-MM-dd").alias("bucket"), kind, F.coalesce("n", F.lit(0)).alias("n"))
 
 
