@@ -148,12 +148,20 @@ class Model:
 RARE = 0.2
 
 
-def train(rows: list[tuple[list[str], str]], langs: list[str], dims: int = 16, buckets: int = 1 << 16, steps: int = 1000, rate: float = 1.5, batch: int = 64, seed: int = 3) -> Model:
-    """Fits a model on (tokens, language) rows, each language with the same weight, in as many epochs as ``steps`` batches need."""
+def train(rows: list[tuple[list[str], str]], langs: list[str], dims: int = 16, buckets: int = 1 << 16, steps: int = 1000, rate: float = 1.5, batch: int = 64, seed: int = 3, known: dict[str, list[str]] | None = None) -> Model:
+    """Fits a model on (tokens, language) rows, each language with the same weight, in as many epochs as ``steps`` batches need.
+
+    ``known`` keeps the words of tokens from one call to the next.
+    """
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / dims, 1 / dims, (buckets, dims)).astype(np.float32)
     weights, bias = np.zeros((dims, len(langs)), np.float32), np.zeros(len(langs), np.float32)
-    words = [[w for t in s for w in words_of(t)] for s, _ in rows]
+    known = {} if known is None else known
+    for s, _ in rows:
+        for t in s:
+            if t not in known:
+                known[t] = words_of(t)
+    words = [[w for t in s for w in known[t]] for s, _ in rows]
     counts = Counter(w for x in words for w in x)
     common = frozenset(w for w, k in counts.items() if k > 1)
     cache = {w: (np.array(grams(w, buckets)), 1.0 if w in common else RARE) for w in counts}
@@ -193,10 +201,14 @@ def train(rows: list[tuple[list[str], str]], langs: list[str], dims: int = 16, b
     return Model(langs, table, weights, bias, common)
 
 
-def robust_train(rows: list[tuple[list[str], str]], langs: list[str], rounds: int = 2) -> Model:
-    """``train``, repeated without the sentences that the model finds twice as likely in another language as in their label's."""
-    model = train(rows, langs)
-    for _ in range(rounds):
+def robust_train(rows: list[tuple[list[str], str]], langs: list[str], rounds: int = 2, first_steps: int = 400) -> Model:
+    """``train``, repeated without the sentences that the model finds twice as likely in another language as in their label's.
+
+    Models that only sort out sentences take fewer steps than the last one.
+    """
+    known: dict[str, list[str]] = {}
+    model = train(rows, langs, steps=first_steps, known=known)
+    for n in range(rounds):
         score = model.scorer()
         kept = []
         for s, lang in rows:
@@ -204,8 +216,8 @@ def robust_train(rows: list[tuple[list[str], str]], langs: list[str], rounds: in
             if p.max() <= 2 * p[langs.index(lang)]:
                 kept.append((s, lang))
         if len({lang for _, lang in kept}) < len(langs):
-            break
-        model = train(kept, langs)
+            kept = rows
+        model = train(kept, langs, steps=first_steps if n < rounds - 1 else 1000, known=known)
     return model
 
 
