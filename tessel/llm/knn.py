@@ -4,7 +4,8 @@ Each tree splits a bounded sample along the line between two of its points until
 it the place near the middle, with the fewest points close by, so that groups are seldom cut. The forest is all that is broadcast.
 Every vector is indexed in one leaf of each tree. As a query it walks all trees through one priority queue, whose entries
 are ranked by the smallest signed distance to the hyperplanes on their way, and visits leaves until they hold ``candidates`` vectors.
-How many that takes is measured on the sample against brute force, for a stated recall. A leaf's members and visitors meet in one task, which computes exact cosines as a matrix product and keeps the k best.
+How many that takes is measured on the sample against brute force, for a stated recall, and is not bounded: where it takes as many as
+there are rows, all vectors are compared with all in one leaf. A leaf's members and visitors meet in one task, which computes exact cosines as a matrix product and keeps the k best.
 
 Leaves that hold or attract more rows than ``cap`` are cut into parts by a hash of the key, members against visitors part by part,
 so no task grows with the data and no candidate is dropped. Equal vectors are indexed once and take part through their first copies.
@@ -75,10 +76,13 @@ class Forest:
         self.children[me] = (left, self._grow(x, rows[side], leaf, rng, sizes))
         return me
 
-    def tune(self, sample: np.ndarray, rows: int, k: int, recall: float, queries: int = 400, most: float = 20_000) -> float:
-        """How many of ``rows`` candidates a search must see to find this share of the k best, measured within the sample."""
+    def tune(self, sample: np.ndarray, rows: int, k: int, recall: float, queries: int = 400) -> float:
+        """How many of ``rows`` candidates a search must see to find this share of the k best, measured within the sample.
+
+        ``rows`` if that many do not suffice or nothing can be measured.
+        """
         if len(sample) <= k + 1:
-            return most
+            return rows
         own = [m for i in range(0, len(sample), 512) for m in self.search(sample[i : i + 512], 0, rows)[0]]
         step = max(1, len(sample) // queries)
         at = np.arange(0, len(sample), step)
@@ -87,10 +91,10 @@ class Forest:
         best = np.argpartition(-s, k, axis=1)[:, :k]
         weight = self.shares * rows
         needed = []
-        for q, seen in enumerate(self.search(sample[at], most, rows)[1]):
+        for q, seen in enumerate(self.search(sample[at], rows, rows)[1]):
             upto = dict(zip(seen, np.cumsum(weight[seen])))
             needed += [min(upto.get(leaf, np.inf) for leaf in own[j]) for j in best[q]]
-        return float(min(most, np.sort(needed)[min(len(needed) - 1, int(recall * len(needed)))]))
+        return float(min(rows, np.sort(needed)[min(len(needed) - 1, int(recall * len(needed)))]))
 
     def search(self, u: np.ndarray, candidates: float, rows: int) -> tuple[list[list[int]], list[list[int]]]:
         """For each vector the leaves it is a member of, and those it visits to see ``candidates`` of ``rows`` indexed vectors."""
@@ -212,6 +216,8 @@ def nearest_neighbours(
     forest = Forest(fitted, trees, max(min_sample_leaf, leaf * len(got) // max(1, n)))
     if candidates is None:
         candidates = forest.tune(fitted, n, k, recall)
+        if candidates >= n:  # no cheaper than comparing all with all, which is one leaf and misses nothing
+            forest = Forest(fitted, 1, max(1, len(fitted)))
     for seen in forest.search(fitted[:2048], candidates, n)[1]:
         forest.visits[seen] += 1
     member_parts = np.maximum(1, np.ceil(forest.shares * n / cap)).astype(int)

@@ -107,6 +107,27 @@ def test_parts_lose_nothing(spark):
     assert dict(found(spark, rows, candidates=10**6, cap=16)) == neighbours(rows, 8)
 
 
+def test_tuned_candidates_are_not_bounded():
+    """Of 400,000 vectors without clusters 20,000 candidates are too few for the recall."""
+    x = np.random.default_rng(6).normal(size=(1500, SIZE)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    forest = knn.Forest(x, 4, 16)
+    tuned = forest.tune(x, 400_000, 8, 0.94)
+    assert 20_000 < tuned <= 400_000
+    s = x @ x.T
+    np.fill_diagonal(s, -9)
+    own = [set(m) for m in forest.search(x, 0, 400_000)[0]]
+    seen = forest.search(x, tuned, 400_000)[1]
+    hits = [bool(own[j] & set(seen[i])) for i in range(len(x)) for j in np.argsort(-s[i])[:8]]
+    assert np.mean(hits) >= 0.92
+
+
+def test_all_with_all_where_no_fewer_candidates_do(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(y) for y in rng.normal(size=SIZE)]) for i in range(300)]
+    assert dict(found(spark, rows, leaf=24, min_sample_leaf=8, recall=1.0, cap=64)) == neighbours(rows, 8)
+
+
 def test_copies_and_ties(spark):
     rows = [(i, [1.0] + [0.0] * (SIZE - 1)) for i in range(30)] + [(100 + i, [1.0, 0.3] + [0.0] * (SIZE - 2)) for i in range(20)] + [(200, [0.0, 1.0] + [0.0] * (SIZE - 2))]
     got = found(spark, rows)
