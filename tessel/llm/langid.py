@@ -4,7 +4,7 @@ A text's prose is cut into sentences. A sentence's feature is the average of has
 linear softmax. Embeddings and classifier are trained together by stochastic gradient descent in numpy, on sentences of a bounded
 sample of labelled documents; labels are partly wrong, so training is repeated without the sentences that the model contradicts.
 Documents that a person has read calibrate it: a temperature for the probabilities, and the least confidence at which a sentence's
-language is accepted rather than rejected. Which languages there are follows from the labels.
+language is accepted rather than rejected. Which languages there are follows from the labels and from what was read.
 """
 
 from __future__ import annotations
@@ -226,6 +226,7 @@ def calibrate(model: Model, rows: list[tuple[list[str], str]], error: float = 0.
 
     Sentences above that confidence are wrong in at most ``error`` of the cases; with no reviewed sentences the defaults stay.
     """
+    other = [s for s, lang in rows if lang and lang not in model.langs]
     rows = [(s, model.langs.index(lang)) for s, lang in rows if lang in model.langs]
     if not rows:
         return model
@@ -239,7 +240,9 @@ def calibrate(model: Model, rows: list[tuple[list[str], str]], error: float = 0.
         return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(y)), y]).mean())
 
     model.temperature = float(min(np.geomspace(0.25, 8, 41), key=loss))
-    z = logits / model.temperature
+    # a sentence of a language that the model lacks is wrong whatever the model says
+    z = np.concatenate([logits / model.temperature, *(np.log(np.maximum(score(s), 1e-30))[None] for s in other)])
+    y = np.concatenate([y, np.full(len(other), -1)])
     p = np.exp(z - z.max(axis=1, keepdims=True))
     p /= p.sum(axis=1, keepdims=True)
     order = np.argsort(-p.max(axis=1))
@@ -269,7 +272,7 @@ def stretches(scores: list[np.ndarray], accept: float) -> list[tuple[int, int, i
     """(language, first, last, confidence) of each stretch, from the probabilities of a text's sentences in order.
 
     A stretch needs two accepted sentences; a single one between others is no stretch. With no stretch at all, the language of the greatest
-    total is the whole text's.
+    total is the whole text's; where every sentence is rejected it has none, which is the language -1.
     """
     if not scores:
         return []
@@ -287,6 +290,8 @@ def stretches(scores: list[np.ndarray], accept: float) -> list[tuple[int, int, i
             merged[-1] += r
         else:
             merged.append(list(r))
+    if max(p.max() for p in scores) < accept:
+        return [(-1, 0, len(scores) - 1, float(1 - np.mean([p.max() for p in scores])))]
     if not merged:
         total = np.mean([np.log(np.maximum(p, 1e-4)) for p in scores], axis=0)
         k = int(total.argmax())
@@ -300,15 +305,30 @@ def bare_label(label: Column) -> Column:
     return F.when(code.rlike("^[a-z]{2}$"), code)
 
 
+def languages_among(counts: dict[str, int], read: set[tuple[str | None, str]], least: int = 20) -> list[str]:
+    """The languages among labels, from the number of documents that have each and what was ``read``: pairs of a label and the true language.
+
+    ``least`` documents make a language, or fewer where they are one in 400 or a reviewed document is in it, three always. A label
+    that less than one in 400 has is none if documents with it were reviewed and no reviewed document is in it.
+    """
+    share = max(3, sum(counts.values()) / 400)
+    true, seen = {t for _, t in read}, {k for k, _ in read}
+    return sorted(k for k, n in counts.items() if n >= share or n >= 3 and (k in true or n >= least and k not in seen))
+
+
 def fit(docs: DataFrame, key: str, text: str, label: str, reviewed: DataFrame, per_label: int = 600, per_document: int = 5, reviews: int = 3000) -> Model:
     """Trains on at most ``per_label`` documents of each label, the first by a hash of the key, and calibrates on ``reviews`` at most.
 
-    ``reviewed`` has rows (key, lang). A language is a label that at least one in 400 labelled documents has, three at least.
+    ``reviewed`` has rows (key, lang). What is a language, ``languages_among`` says.
     """
     labelled = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), bare_label(F.col(label)).alias("lang")).where("text is not null")
     known = labelled.where("lang is not null")
     counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}  # at most 26 * 26 labels
-    langs = sorted(k for k, n in counts.items() if n >= max(3, sum(counts.values()) / 400))
+    read = reviewed.select(F.col(reviewed.columns[0]).alias("key"), bare_label(F.col("lang")).alias("truth")).where("key is not null").distinct()
+    read = labelled.join(read, "key")
+    langs = languages_among(counts, set())
+    if any(n < sum(counts.values()) / 400 for n in counts.values()):
+        langs = languages_among(counts, {(r.lang, r.truth) for r in read.where("truth is not null").select("lang", "truth").distinct().collect()})
     if len(langs) < 2:
         return Model(langs or ["und"], np.zeros((1, 1), np.float32), np.zeros((1, max(1, len(langs))), np.float32), np.zeros(max(1, len(langs)), np.float32))
     nth = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("key"), "key"))
@@ -319,8 +339,7 @@ def fit(docs: DataFrame, key: str, text: str, label: str, reviewed: DataFrame, p
         rows += [(s[i], r.lang) for i in sorted({int(i) for i in np.linspace(0, len(s) - 1, min(per_document, len(s)))})] if s else []
     langs = sorted({lang for _, lang in rows})
     model = robust_train(rows, langs)
-    read = reviewed.select(F.col(reviewed.columns[0]).alias("key"), bare_label(F.col("lang")).alias("truth")).where("key is not null").distinct()
-    read = labelled.join(read, "key").orderBy(F.xxhash64("key"), "key").limit(reviews).select("text", "truth").collect()
+    read = read.orderBy(F.xxhash64("key"), "key").limit(reviews).select("text", "truth").collect()
     return calibrate(model, [(s, r.truth) for r in read for s in sentences(r.text)[:6]])
 
 
@@ -334,7 +353,7 @@ def _labelled(model, key: str, text: str):
                 found = stretches([score(s) for s in sentences(x)], m.accept)
                 for n, (k, first, last, sure) in enumerate(found):
                     rows.append(i)
-                    for c, v in zip(cols, (n + 1, len(found), last - first + 1, m.langs[k], sure)):
+                    for c, v in zip(cols, (n + 1, len(found), last - first + 1, m.langs[k] if k >= 0 else "und", sure)):
                         c.append(v)
             kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(rows, pa.int32())), *[pa.array(c, t) for c, t in zip(cols, kinds)]], names=["key", "seg", "segs", "sentences", "lang", "confidence"])
@@ -345,6 +364,8 @@ def _labelled(model, key: str, text: str):
 def document_languages(docs: DataFrame, key: str, text: str, model: Model) -> DataFrame:
     """Rows (key, seg, segs, sentences, lang, confidence): the stretches of each text's prose, one for a text of one language.
 
+    A text whose sentences are all rejected has one row with the language und.
+
     Null, empty and blank texts and those without prose (only code, logs, links, identifiers, greetings) have no row. Rows with the
     same key are treated one by one. The model is broadcast: its size is that of its hash table, whatever the data. There is no
     shuffle.

@@ -185,7 +185,7 @@ def _languages(spark: SparkSession, folder: str) -> DataFrame:
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Stretches of mixed documents, and documents of one language whose label is wrong or missing."""
     labels = table(spark, folder, "documents", "doc_id", "lang").select("doc_id", langid.bare_label(F.col("lang")).alias("label"))
-    rows = _languages(spark, folder).withColumnRenamed("key", "doc_id").join(labels, "doc_id")
+    rows = _languages(spark, folder).where("lang != 'und'").withColumnRenamed("key", "doc_id").join(labels, "doc_id")
     return rows.where(~((F.col("segs") == 1) & F.col("lang").eqNullSafe(F.col("label")))).select("doc_id", F.col("seg").cast("long").alias("seg"), "lang")
 
 

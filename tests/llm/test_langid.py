@@ -48,6 +48,35 @@ def test_stretches(scores, want):
     assert len(got) == 1 if want is None else [s[0] for s in got] == want
 
 
+def test_all_rejected_has_no_language(spark):
+    assert [s[:3] for s in L.stretches([p(0, 0.4), p(1, 0.45)], 0.5)] == [(-1, 0, 1)]
+    model = L.Model(["de", "en", "fr"], np.zeros((8, 2), np.float32), np.zeros((2, 3), np.float32), np.zeros(3, np.float32))
+    docs = spark.createDataFrame([(1, "The server restarts every time again.")], "doc_id long, text string")
+    assert [r.lang for r in L.document_languages(docs, "doc_id", "text", model).collect()] == ["und"]
+
+
+def test_languages_among():
+    counts = {"en": 900_000, "de": 97_000, "da": 2400, "xx": 90, "sv": 30, "fi": 5, "pl": 5, "no": 2}
+    assert L.languages_among(counts, {("en", "en"), ("xx", "en"), (None, "fi"), ("no", "no")}) == ["da", "de", "en", "fi", "sv"]
+    assert L.languages_among({"en": 60, "de": 3, "fr": 2}, set()) == ["de", "en"]
+
+
+def test_rare_language(spark):
+    """A language of 30 among 12,800 documents is one, although that is less than one in 400."""
+    en, de, da = (
+        "the server restarts every time without any message after update from this branch today".split(),
+        "leider startet der dienst immer wieder ohne jede meldung nach einer neuen aktualisierung heute".split(),
+        "desværre genstarter tjenesten hver gang uden nogen besked efter den nye opdatering fra grenen".split(),
+    )
+    rng = np.random.default_rng(2)
+    rows = [(lang, words) for lang, words, n in (("en", en, 10_770), ("de", de, 2000), ("da", da, 30)) for _ in range(n)]
+    rows = [(i, " ".join(rng.permutation(words)[:9]) + ".", lang) for i, (lang, words) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(docs, "doc_id", "text", "lang", spark.createDataFrame([], "doc_id long, lang string"))
+    got = L.document_languages(docs.where("lang = 'da'"), "doc_id", "text", model).collect()
+    assert len(got) == 30 and {r.lang for r in got} == {"da"}
+
+
 def test_labels(spark):
     rows = ["EN ", "pt_BR", " de-AT", "unknown", "und", "", None, "  ", "e"]
     got = [r.x for r in spark.createDataFrame([(r,) for r in rows], "l string").select(L.bare_label(F.col("l")).alias("x")).collect()]
