@@ -70,6 +70,7 @@ def cuts(text: str, limit: int = 2400, overlap: int = 200) -> list[tuple[int, in
         return [(0, n, False)]
     natural, ends = places(text)
     depth = valleys(text, ends)
+    natural = np.union1d(natural, [n])  # the text's end is one more
     out: list[tuple[int, int, bool]] = []
     at = 0
     while True:

@@ -28,6 +28,18 @@ def test_properties(parts):
     assert any(f for _, _, f in pieces) == (longest > 2400 and len(text) > 2400)
 
 
+@pytest.mark.parametrize("tail", [2200, 2201, 2300, 2399, 2400])
+@pytest.mark.parametrize("head", ["word " * 700, "One sentence. " * 20, "a "])
+def test_tail_that_fits_is_whole(head, tail):
+    pieces = split.cuts(head + "x" * tail)
+    n, lap = len(head) + tail, min(len(head), 200, 2400 - tail)
+    assert pieces[-1] == (len(head) - lap, n, False) and not any(f for _, _, f in pieces)
+
+
+def test_tail_over_the_limit_is_forced():
+    assert [f for _, _, f in split.cuts("word " * 700 + "x" * 2401)].count(True) == 1
+
+
 def test_overlap_is_full_where_possible():
     text = "This is one sentence of some words. " * 400
     pieces = split.cuts(text)
