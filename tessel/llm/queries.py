@@ -57,14 +57,18 @@ STOP = "the and for with from not when after before into this that are was its c
 
 @QUERIES.add("p2_clusters")
 def p2_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    """Clusters with size, label (the four most distinctive title words) and samples (the eight items nearest the centre)."""
+    """Clusters with size, label (the four most distinctive title words) and samples (the eight items nearest the centre).
+
+    Label words stand in three titles, or in as many as the cluster's most frequent word does; a cluster without any is labelled by
+    the title, else the id, of its most typical item.
+    """
     points = stage(_item_points(spark, folder), "points")
     labels = stage(density.density_clusters(points, SIZE), "labels")
     near = density.centre_similarity(points, labels, SIZE)
     first = W.partitionBy("peak").orderBy(F.desc("ctr"), "key")
     samples = near.withColumn("n", F.row_number().over(first)).where("n <= 8").groupBy("peak").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("s"))
     samples = samples.select("peak", F.to_json(F.col("s.key")).alias("samples"))
-    titles = table(spark, folder, "items", "idx", "title").groupBy("idx").agg(F.max("title").alias("title"))
+    titles = table(spark, folder, "items", "idx", "title", "id").groupBy("idx").agg(F.max("title").alias("title"), F.min("id").alias("id"))
     bare = F.regexp_replace(F.lower("title"), r"^[^ ]+/[^ ]+( commit [0-9a-f]+)? ", "")
     words = labels.join(titles, F.col("key") == F.col("idx")).select("peak", "key", F.explode(F.array_distinct(F.regexp_extract_all(bare, F.lit("[a-z][a-z0-9_.-]{2,}"), F.lit(0)))).alias("word"))
     tf = words.where(~F.col("word").isin(STOP)).groupBy("peak", "word").agg(F.count("*").alias("tf"))
@@ -73,9 +77,13 @@ def p2_clusters(spark: SparkSession, folder: str) -> DataFrame:
     total = F.broadcast(sizes.agg(F.count("*").alias("clusters")))  # one row
     score = F.col("tf") * F.log1p(F.col("clusters") / F.col("df"))
     best = W.partitionBy("peak").orderBy(F.desc("score"), "word")
-    terms = tf.where("tf >= 3").join(df, "word").crossJoin(total).withColumn("score", score).withColumn("n", F.row_number().over(best)).where("n <= 4")
+    enough = F.col("tf") >= F.least(F.lit(3), F.max("tf").over(W.partitionBy("peak")))
+    terms = tf.withColumn("enough", enough).where("enough").join(df, "word").crossJoin(total).withColumn("score", score).withColumn("n", F.row_number().over(best)).where("n <= 4")
     terms = terms.groupBy("peak").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "word"))), lambda x: x["word"]), ", ").alias("label"))
-    return sizes.join(terms, "peak", "left").join(samples, "peak", "left").select("k", "size", F.coalesce("label", F.lit("")).alias("label"), "samples")
+    title = F.when(F.trim("title") != "", F.trim("title"))
+    typical = near.join(titles, F.col("key") == F.col("idx")).groupBy("peak").agg(F.min_by(F.coalesce(title, "id"), F.struct(title.isNull(), -F.col("ctr"), "key")).alias("typical"))
+    rows = sizes.join(terms, "peak", "left").join(samples, "peak", "left").join(typical, "peak", "left")
+    return rows.select("k", "size", F.coalesce("label", "typical").alias("label"), "samples")
 
 
 def _pieces(spark: SparkSession, folder: str, *carried: str) -> DataFrame:

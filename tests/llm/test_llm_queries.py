@@ -29,3 +29,15 @@ def test_runs(spark, name):
     assert df.columns == COLUMNS.get(name, df.columns) and df.count() >= 0
     if QUERIES[name].sql:
         assert_same(df, connect(FOLDER), QUERIES[name].sql)
+
+
+def test_every_cluster_has_a_label(spark, tmp_path):
+    titles = ["Slow index rebuild", "Fast parser cache", "Fast parser tests", None, None, "the and for", *["Broken login page"] * 4]
+    cluster = [0, 1, 1, 2, 2, 3, 4, 4, 4, 4]
+    n = range(len(titles))
+    spark.createDataFrame([(i, "p", f"i:{i}", titles[i]) for i in n], "idx long, project string, id string, title string").write.parquet(f"{tmp_path}/items.parquet")
+    spark.createDataFrame([(100 + i, "p", f"i:{i}") for i in n], "rid long, project string, id string").write.parquet(f"{tmp_path}/chunks.parquet")
+    v = [[float(j == cluster[i]) for j in range(256)] for i in n]
+    spark.createDataFrame([(100 + i, "brook-embed-2", v[i]) for i in n], "rid long, model string, v array<float>").write.parquet(f"{tmp_path}/vec.parquet")
+    got = {r.k: (r.size, r.label) for r in QUERIES["p2_clusters"].run(spark, str(tmp_path)).collect()}
+    assert got == {0: (1, "index, rebuild, slow"), 1: (2, "fast, parser"), 3: (2, "i:3"), 5: (1, "the and for"), 6: (4, "broken, login, page")}
