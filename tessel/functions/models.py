@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Embed = Callable[[list[str]], np.ndarray]
@@ -65,3 +65,13 @@ def cached_scores(wanted: DataFrame, cache: DataFrame, salt: str, compute: Calla
 def faithful(claims: DataFrame, by: str, entail: str, contradict: str) -> DataFrame:
     """(by, ok): whether every claim is entailed with at least .5 and contradicted with less; without claims there is no row."""
     return claims.groupBy(by).agg(F.bool_and((F.col(entail) >= 0.5) & (F.col(contradict) < 0.5)).alias("ok"))
+
+
+def yes_probability(yes: Column, no: Column) -> Column:
+    """The softmax of a model's logits for yes and no, for yes."""
+    return 1 / (1 + F.exp(no - yes))
+
+
+def log_prob(tokens: Column) -> Column:
+    """The log-probability of a sequence: the sum over its tokens' ones."""
+    return F.aggregate(tokens, F.lit(0.0), lambda a, x: a + x)

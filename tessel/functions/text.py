@@ -118,10 +118,11 @@ def line_range(text: Column, first: int, last: int) -> Column:
     return F.array_join(F.slice(F.split(text, "\n"), max(1, first), last - max(1, first) + 1), "\n")
 
 
-def links(html: Column) -> Column:
-    """Distinct http(s) addresses of a text or of href attributes, ``&amp;`` resolved, first seen first, 100 at most."""
+def links(html: Column, most: int | None = 100) -> Column:
+    """Distinct http(s) addresses of a text or of href attributes, ``&amp;`` resolved, first seen first, ``most`` at most (None: all)."""
     got = F.regexp_extract_all(html, F.lit(r"https?://[^\s\"'<>)\]`]+"), F.lit(0))
-    return F.slice(F.array_distinct(F.transform(got, lambda u: F.regexp_replace(F.replace(u, F.lit("&amp;"), F.lit("&")), "[.,;:]+$", ""))), 1, 100)
+    got = F.array_distinct(F.transform(got, lambda u: F.regexp_replace(F.replace(u, F.lit("&amp;"), F.lit("&")), "[.,;:]+$", "")))
+    return got if most is None else F.slice(got, 1, most)
 
 
 def issue_numbers(text: Column, most: int = 50) -> Column:

@@ -96,3 +96,17 @@ def next_event(left: DataFrame, right: DataFrame, by: list[str], time: str, valu
     months = months.withColumn("_after", F.first("_f", ignorenulls=True).over(later)).drop("_f")
     got = F.coalesce("_next", "_after")
     return rows.join(months, [*by, "_m"], "left").withColumn(value, got["v"]).withColumn(f"{value}_time", got["t"]).drop("_m", "_side", "_v", "_next", "_after")
+
+
+#: The confidence of a reference by where it was found.
+BASE = {"github": 1.0, "git": 0.95, "title": 0.8, "body": 0.7, "commit msg": 0.7, "comment": 0.5, "review": 0.5, "closing": 0.85, "code comment": 0.9, "release note": 0.9, "tag message": 0.9, "topic": 0.7, "post": 0.5}
+
+
+def edge_confidence(how: Column, certainty: Column) -> Column:
+    """The base of ``how`` times the certainty of the reference, to three places; null for another ``how``."""
+    return F.round(_lookup(BASE, how) * certainty, 3)
+
+
+def sample_edges(edges: DataFrame, type_: str, n: int, seed: int = 0) -> DataFrame:
+    """``n`` edges of a type, the first by a hash of their ends and the seed."""
+    return edges.where(F.col("type") == type_).orderBy(F.xxhash64("src", "dst", F.lit(seed)), "src", "dst").limit(n)

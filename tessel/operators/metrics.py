@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -52,3 +52,9 @@ def picked(df: DataFrame, value: str, places: dict[str, str]) -> DataFrame:
     upto = F.sum("_c").over(W.orderBy(value))
     g = g.withColumn("_upto", upto).crossJoin(F.broadcast(total))
     return g.agg(*[F.min(F.when((F.col("_upto") > F.expr(e)) & (F.col("_upto") - F.col("_c") <= F.expr(e)), F.col(value))).alias(k) for k, e in places.items()])
+
+
+def canary_passed(hits: Column, expected: Column) -> Column:
+    """Whether any of the expected strings stands in the titles and addresses of the hits (both arrays), in any letter case."""
+    hay = F.lower(F.array_join(hits, " "))
+    return F.exists(expected, lambda x: F.contains(hay, F.lower(x)))

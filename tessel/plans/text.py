@@ -96,7 +96,7 @@ FROM documents WHERE regexp_matches(text, 'https?://')""")
 def page_links(spark: SparkSession, folder: str) -> DataFrame:
     """STR10: the addresses in each document that has any."""
     d = table(spark, folder, "documents", "doc_id", "text").where(F.col("text").rlike("https?://"))
-    return d.select("doc_id", F.array_join(F.array_sort(T.links(F.col("text"))), " ").alias("links"))
+    return d.select("doc_id", F.array_join(F.array_sort(T.links(F.col("text"), None)), " ").alias("links"))
 
 
 @QUERIES.add(

@@ -115,3 +115,25 @@ def test_text_functions(spark):
     import re
 
     assert re.match(T.glob("src/**/*.py"), "src/a/b.py") and re.match(T.glob("src/**/*.py"), "src/b.py") and not re.match(T.glob("src/*.py"), "src/a/b.py")
+
+
+def test_all_links_of_a_page(spark, tmp_path):
+    from tessel.plans.catalog import QUERIES
+
+    text = " ".join(f"https://a.example/{i}" for i in range(120))
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(QUERIES["page_links"].run(spark, str(tmp_path)).first().links.split()) == sorted(text.split())
+    assert spark.range(1).select(F.size(T.links(F.lit(text))).alias("n")).first().n == 100
+
+
+def test_survey_columns(spark):
+    from tessel.functions import models
+
+    one = lambda *c: tuple(spark.range(1).select(*c).first())
+    hits = F.array(F.lit("Index Rebuild"), F.lit("https://a.example/7"))
+    assert one(*[metrics.canary_passed(hits, F.array(*map(F.lit, x))) for x in (["zz", "REBUILD"], ["zz"])]) == (True, False)
+    assert one(models.yes_probability(F.lit(2.0), F.lit(2.0)), models.log_prob(F.array(F.lit(-1.0), F.lit(-0.5)))) == (0.5, -1.5)
+    assert one(graph.edge_confidence(F.lit("closing"), F.lit(0.9)), graph.edge_confidence(F.lit("?"), F.lit(0.9))) == (0.765, None)
+    edges = spark.createDataFrame([(f"a{i}", f"b{i}", "closes" if i % 2 else "mentions") for i in range(40)], "src string, dst string, type string")
+    some = lambda seed: [r.src for r in graph.sample_edges(edges, "closes", 5, seed).collect()]
+    assert some(1) == some(1) != some(2) and len(set(some(1))) == 5 and {r.type for r in graph.sample_edges(edges, "closes", 99).collect()} == {"closes"}
