@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
-import time
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,34 +57,55 @@ def append_new(rows: DataFrame, path: str, key: str) -> None:
     try:
         done = spark.read.schema(rows.schema).json(path).select(key)
         rows = rows.join(done, key, "left_anti")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:
+        if not absent(e):
             raise
     rows.dropDuplicates([key]).write.mode("append").json(path)
 
 
+def absent(error: Exception) -> bool:
+    """Whether a read failed because its path does not exist, and for no other reason."""
+    return isinstance(error, AnalysisException) and error.getCondition() == "PATH_NOT_FOUND"
+
+
 def publish(df: DataFrame, path: str, params: dict) -> str:
-    """Writes a new version beside the others, then the pointer to it; readers see the old or the new version whole."""
-    version = f"{path}/v{time.time_ns()}"
+    """Writes a new version beside the others, then the pointer to it; readers see the old or the new version whole.
+
+    Versions are numbered; a pointer names its number, its folder and its parameters. Writers of one path must take turns.
+    """
+    spark = df.sparkSession
+    last = _newest(spark, path)
+    number = last["number"] + 1 if last else 1
+    version = f"{path}/v{number}-{uuid.uuid4().hex[:8]}"
     df.write.parquet(version)
-    pointer = df.sparkSession.createDataFrame([(json.dumps({"version": version, "params": params}, sort_keys=True),)], "value string")
+    pointer = spark.createDataFrame([(json.dumps({"number": number, "version": version, "params": params}, sort_keys=True),)], "value string")
     pointer.coalesce(1).write.mode("append").text(f"{path}/_pointers")
     return version
 
 
-def published(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
-    """The newest version and its parameters."""
-    last = spark.read.text(f"{path}/_pointers").select(F.max("value").alias("v")).first()
-    at = json.loads(last.v)
-    return spark.read.parquet(at["version"]), at["params"]
+def _newest(spark: SparkSession, path: str) -> dict | None:
+    """The pointer with the greatest number, None where nothing was published yet; other failures are raised."""
+    try:
+        lines = spark.read.text(f"{path}/_pointers")
+    except AnalysisException as e:
+        if absent(e):
+            return None
+        raise
+    number = F.get_json_object("value", "$.number").cast("long")
+    last = lines.select(F.max_by("value", number).alias("v")).first()
+    return json.loads(last.v) if last.v else None
+
+
+def published(spark: SparkSession, path: str) -> tuple[DataFrame, dict] | None:
+    """The newest version and its parameters, None where nothing was published yet."""
+    at = _newest(spark, path)
+    return (spark.read.parquet(at["version"]), at["params"]) if at else None
 
 
 def unchanged(spark: SparkSession, path: str, params: dict) -> bool:
     """Whether the newest version was made with these parameters."""
-    try:
-        return published(spark, path)[1] == params
-    except Exception:
-        return False
+    at = _newest(spark, path)
+    return at is not None and at["params"] == params
 
 
 def after_cursor(feed: DataFrame, cursor: str | None, time_column: str) -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tessel.sources.feeds import publish
+from tessel.operators.store import current
+from tessel.sources.feeds import absent, publish, published
 
 
 def tumbling_counts(stream: DataFrame, time: str, kind: str, width: str = "1 day", late: str = "2 days") -> DataFrame:
@@ -50,18 +52,32 @@ def idle_keys(stream: DataFrame, time: str, key: str, ttl_ms: int, late: str = "
     return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, last timestamp, n long", "last long, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def upserting(path: str, key: str, order: str):
-    """A ``foreachBatch`` function that keeps the newest row of each key in a versioned table; a batch run twice changes nothing."""
-    from tessel.operators.store import current, upsert
-    from tessel.sources.feeds import published
+def upserting(path: str, key: str, order: str, compact_every: int = 20):
+    """A ``foreachBatch`` function that keeps the newest row of each key; ``upserted`` reads the table.
+
+    A batch only writes its own newest rows, as the change of its epoch, so its cost is that of the batch; a batch run twice writes
+    the same change again. Every ``compact_every`` epochs the changes are merged into a new version of the whole table.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        newest = current(batch, key, order)
-        try:
-            old = published(batch.sparkSession, path)[0]
-        except Exception:
-            old = newest.limit(0)
-        both = current(old.unionByName(newest), key, order)
-        publish(both if order else upsert(old, newest, key), path, {"epoch": epoch})
+        spark = batch.sparkSession
+        current(batch, key, order).write.mode("overwrite").parquet(f"{path}/changes/epoch={epoch}")
+        if (epoch + 1) % compact_every == 0:
+            publish(upserted(spark, path, key, order), path, {"upto": epoch})
 
     return write
+
+
+def upserted(spark: SparkSession, path: str, key: str, order: str) -> DataFrame:
+    """The newest row of each key: the last version of the table and the changes of later epochs."""
+    base = published(spark, path)
+    upto = base[1]["upto"] if base else -1
+    try:
+        changes = spark.read.parquet(f"{path}/changes").where(F.col("epoch") > upto).drop("epoch")
+    except AnalysisException as e:
+        if not absent(e):
+            raise
+        if base is None:
+            raise ValueError(f"nothing was written to {path}") from e
+        return base[0]
+    return current(base[0].unionByName(changes) if base else changes, key, order)

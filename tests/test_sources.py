@@ -1,9 +1,12 @@
 """Feeds, models, streams and plain functions."""
 
+import json
+import shutil
 from datetime import date, datetime
 
 import numpy as np
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tessel.functions import matching, models, periods
@@ -83,11 +86,29 @@ def test_streams(spark, tmp_path):
 
 
 def test_upserting(spark, tmp_path):
-    write = streams.upserting(str(tmp_path / "t"), "id", "v")
-    write(spark.createDataFrame([(1, 1), (2, 5)], "id long, v long"), 0)
-    for _ in range(2):
-        write(spark.createDataFrame([(1, 7), (2, 3)], "id long, v long"), 1)
-    assert sorted(map(tuple, feeds.published(spark, str(tmp_path / "t"))[0].collect())) == [(1, 7), (2, 5)]
+    """No batch is lost over more than ten epochs and two versions, and a batch run twice changes nothing."""
+    path, want = str(tmp_path / "t"), {}
+    write = streams.upserting(path, "id", "v", compact_every=4)
+    with pytest.raises(ValueError):
+        streams.upserted(spark, path, "id", "v")
+    for epoch in range(13):
+        rows = [(epoch, epoch), (100, 50 - epoch), (200, epoch)]
+        for _ in range(1 + epoch % 2):
+            write(spark.createDataFrame(rows, "id long, v long"), epoch)
+        for k, v in rows:
+            want[k] = max(v, want.get(k, v))
+        if epoch in (2, 3, 12):
+            assert dict(map(tuple, streams.upserted(spark, path, "id", "v").collect())) == want
+
+
+def test_versions_are_ordered_by_number(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for n in range(12):
+        feeds.publish(spark.createDataFrame([(n,)], "id long"), path, {"epoch": n} if n % 2 else {"z": str(n)})
+        assert feeds.published(spark, path)[0].first().id == n and not feeds.unchanged(spark, path, {"epoch": n - 1})
+    shutil.rmtree(json.loads(max((f.read_text() for f in (tmp_path / "t" / "_pointers").glob("*.txt")), key=lambda x: json.loads(x)["number"]))["version"])
+    with pytest.raises(AnalysisException):  # a version that cannot be read is no empty table
+        streams.upserted(spark, path, "id", "id")
 
 
 def test_matching():
