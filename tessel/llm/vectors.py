@@ -10,20 +10,31 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessel.plans.staging import stage
+
 
 def encode(v: np.ndarray) -> bytes:
     """float32 bytes, or half as many where float16 loses nothing."""
-    short = v.astype(np.float16)
+    with np.errstate(over="ignore"):
+        short = v.astype(np.float16)
     return short.tobytes() if np.array_equal(short.astype(np.float32), v) else v.astype(np.float32).tobytes()
 
 
+def raw(rows: list[bytes], size: int, kind=np.float64) -> np.ndarray:
+    """Encoded rows as numbers, one row a line, scaled so that neither tiny nor huge ones leave the range of float32."""
+    lengths = np.fromiter(map(len, rows), np.int64, len(rows))
+    out = np.empty((len(rows), size), kind)
+    for short, held in ((True, np.float16), (False, np.float32)):
+        at = np.flatnonzero((lengths == 2 * size) == short)
+        if len(at):
+            out[at] = np.frombuffer(b"".join(rows if len(at) == len(rows) else [rows[i] for i in at]), held).reshape(-1, size)
+    out /= np.maximum(np.abs(out).max(axis=1, keepdims=True), np.finfo(np.float32).tiny)
+    return out
+
+
 def decode(rows: list[bytes], size: int) -> np.ndarray:
     """Unit vectors of encoded rows, one a line."""
-    out = np.empty((len(rows), size), np.float32)
-    for i, b in enumerate(rows):
-        out[i] = np.frombuffer(b, np.float16 if len(b) == 2 * size else np.float32)
-    # scaled first, so that neither tiny nor huge numbers leave the range of float32
-    out /= np.maximum(np.abs(out).max(axis=1, keepdims=True), np.finfo(np.float32).tiny)
+    out = raw(rows, size, np.float32)
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
@@ -59,3 +70,16 @@ def usable_vectors(df: DataFrame, key: str, vector: str, size: int) -> DataFrame
     rows = df.where(F.col(key).isNotNull() & (F.size(vector) == size)).select(key, vector)
     out = rows.mapInArrow(_encoded(key, vector, size), f"key {kind}, v binary, digest binary")
     return out.groupBy("key").agg(F.min(F.struct("digest", "v")).alias("x")).select("key", "x.v", "x.digest")
+
+
+def copies_of(points: DataFrame) -> DataFrame:
+    """Rows (key, rep, copies) of the points whose vector others have too; ``rep`` is the least of their keys. Only narrow rows move."""
+    named = points.select("key", "digest")
+    shared = named.groupBy("digest").agg(F.min("key").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
+    return stage(named.join(shared, "digest").select("key", "rep", "copies"), "copies")
+
+
+def first_copies(points: DataFrame, copied: DataFrame) -> DataFrame:
+    """Rows (key, v, mass): each distinct vector once, under its least key, and how many points have it."""
+    rows = points.select("key", "v").join(copied, "key", "left").where("rep is null or rep = key")
+    return rows.select("key", "v", F.coalesce("copies", F.lit(1)).cast("double").alias("mass"))
