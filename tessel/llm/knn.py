@@ -129,9 +129,11 @@ class Forest:
             return 0.0, 1.0
         k = min(k, len(u) - 1)
         at = np.unique(np.linspace(0, len(u) - 1, min(queries, len(u))).astype(int))
-        s = u[at] @ u.T
-        s[np.arange(len(at)), at] = -9
-        best = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        best = np.empty((len(at), k), np.int64)
+        for i in range(0, len(at), 64):
+            s = u[at[i : i + 64]] @ u.T
+            s[np.arange(len(s)), at[i : i + 64]] = -9
+            best[i : i + 64] = np.argpartition(-s, k - 1, axis=1)[:, :k]
         wanted = np.unique(best)
         own = self.own(self.priorities(u[wanted]))[np.searchsorted(wanted, best)]  # queries x k x trees
         priority = self.priorities(u[at])
@@ -274,11 +276,12 @@ def nearest_neighbours(
     n = points.count()
     cells = max(1, round(n / cell))
     got = reps.orderBy(F.xxhash64("key"), "key").limit(sample).select("v").collect() if cells > 1 else []
-    fitted = decode([bytes(r.v) for r in got], size)
-    trunk = Forest(fitted, 1, max(16, len(got) // cells), lines=8, part=1024)
+    fitted = decode([r.v for r in got], size)
+    got = len(got)
+    trunk = Forest(fitted, 1, max(16, got // cells), lines=8, part=1024)
     # among the sample's rows as many stand for the k nearest as their share of all rows
-    slack = trunk.needed(fitted, max(1, round(k * len(got) / max(1, n))), 1 - (1 - recall) / 2, 1024)[0]
-    share = len(got) or 1
+    slack = trunk.needed(fitted, max(1, round(k * got / max(1, n))), 1 - (1 - recall) / 2, 1024)[0]
+    share = got or 1
     visits = sum((trunk.priorities(fitted[i : i + 1024]) >= -slack).sum(axis=0) for i in range(0, max(1, len(fitted)), 1024))
     member_parts = np.maximum(1, np.ceil(trunk.sizes / share * n / cap)).astype(np.int64)
     visitor_parts = np.maximum(1, np.ceil(visits / share * n / (2 * cap))).astype(np.int64)
