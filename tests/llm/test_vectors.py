@@ -40,8 +40,8 @@ def test_usable(spark):
     assert np.isfinite(vectors.decode([vectors.encode(np.full(SIZE, 1e30, np.float32)), vectors.encode(np.full(SIZE, 1e-30, np.float32))], SIZE)).all()
 
 
-@pytest.mark.parametrize("block", [2048, 64])
-def test_clusters(spark, block):
+@pytest.mark.parametrize("block, sample", [(2048, 4096), (64, 4096), (64, 40)])
+def test_clusters(spark, block, sample):
     rows = planted()
     s = unit(rows) @ unit(rows).T
     want, label = defaultdict(set), {}
@@ -52,17 +52,29 @@ def test_clusters(spark, block):
     for i, k in label.items():
         want[k].add(i)
     got = defaultdict(set)
-    for r in density.density_clusters(frame(spark, rows), SIZE, block=block, per_pivot=8).collect():
+    for r in density.density_clusters(frame(spark, rows), SIZE, block=block, sample=sample).collect():
         got[r.peak].add(r.key)
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
     assert all(k in v for k, v in got.items())
 
 
-def test_many_clusters_are_merged_exactly(spark):
-    rows = [(i, [float(x) for x in np.eye(SIZE)[i % SIZE] + 0.01 * np.random.default_rng(i).normal(size=SIZE)]) for i in range(160)]
-    got = density.density_clusters(frame(spark, rows), SIZE, block=4, per_pivot=2, levels=2).collect()
-    assert len(got) == 160 and len({r.peak for r in got}) == SIZE
-    assert all(len({r.peak for r in got if r.key % SIZE == k}) == 1 for k in range(SIZE))
+@pytest.mark.parametrize("block, sample", [(5000, 5000), (100, 5000), (100, 300)])
+def test_touching_clusters_are_those_of_all_pairs(spark, block, sample):
+    """Clusters that overlap: densities, pointers and labels are those of the whole data, whatever the blocks."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(9, SIZE))
+    rows = [(i, [float(x) for x in centres[i % 9] + 0.8 * rng.normal(size=SIZE)]) for i in range(1200)]
+    u = vectors.decode([vectors.encode(np.array(v, np.float32)) for _, v in rows], SIZE)
+    peak, _ = density.peaks_of(u, np.arange(1200), np.ones(1200), 0.5)
+    got = {r.key: r.peak for r in density.density_clusters(frame(spark, rows), SIZE, block=block, sample=sample).collect()}
+    same = np.mean([got[i] == peak[i] for i in range(1200)])
+    assert len(set(peak.tolist())) > 1 and (same == 1 if sample >= 1200 else same > 0.98)
+
+
+def test_follow(spark):
+    rows = [(i, i - 1) for i in range(1, 40)] + [(100, 5)]
+    got = {r.key: r.peak for r in density.follow(spark.createDataFrame(rows, "key long, to long")).collect()}
+    assert set(got.values()) == {0} and len(got) == 40
 
 
 def test_cluster_edges(spark):
