@@ -1,9 +1,10 @@
 """Mixing sources to target weights by tempered shares and budgeted block permutations.
 
-A source with natural token share p and planned weight w has the tempered weight p * (w / p) ** t: t = 0 leaves it as it is, t = 1 gives
-the plan. The exponent of a source is bisected to the largest t <= 1 at which its share of the size needs no more repetitions than
-allowed, so a source that cannot reach its weight gets what it can give, and all others exactly the plan. The usual family p ** a over
-all sources, with a bisected to a target entropy, is there as well, for a mix without planned weights.
+One exponent t tempers all sources at once: with natural token shares p and planned weights w they get weights in proportion to
+p ** (1 - t) * w ** t, normalised, so that t = 0 leaves the corpus as it is and t = 1 gives the plan. The exponent is bisected to the
+largest t <= 1 at which no source needs more repetitions than it may have. Where it stays below 1, the sources that hold it there are
+those whose limit the plan exceeds: they get all they can give, and the others are tempered again towards their weights, until the
+exponent is 1. The family p ** a, with a bisected to a target entropy, is there as well, for a mix without planned weights.
 
 A budget is realised in passes over the source: whole ones, then part of one. Documents fall into blocks by a hash; a pass takes
 blocks in a permuted order while they fit the budget, and of the block where it ends the documents that fit. Only the sums of blocks are
@@ -26,7 +27,7 @@ BLOCKS = 1024
 
 @dataclass(frozen=True)
 class Budget:
-    """What a source gets: its tempered weight of ``size`` tokens, in whole passes and a rest."""
+    """What a source gets: its tempered weight of the size in tokens, in whole passes and a rest; the exponent is the one it was settled at."""
 
     source: str
     weight: float
@@ -55,34 +56,39 @@ def bisect(fits, low: float, high: float, rounds: int = 80) -> float:
     return low
 
 
-def tempered(tokens: int, weight: float, max_repeat: int, size: int) -> tuple[float, bool]:
-    """The exponent of a source, and whether it reaches its weight of ``size`` tokens.
+def tempered(shares: list[float], weights: list[float], t: float) -> list[float]:
+    """Normalised weights between the natural shares (t = 0) and the planned ones (t = 1), all of them positive."""
+    x = [(1 - t) * math.log(p) + t * math.log(w) for p, w in zip(shares, weights)]
+    top = max(x)
+    total = sum(math.exp(v - top) for v in x)
+    return [math.exp(v - top) / total for v in x]
 
-    A source without tokens reaches only a weight of zero; one whose plan is null or negative counts as weight zero.
-    """
-    if weight <= 0:
-        return 1.0, True
-    if not tokens * max_repeat or not size:
-        return 0.0, not weight * size
-    share = tokens / size
-    exact = tokens * max_repeat >= weight * size
-    if exact:
-        return 1.0, True
-    return bisect(lambda t: t < 1 and share * (weight / share) ** t * size <= tokens * max_repeat, 0.0, 1.0), False
+
+def exponent(shares: list[float], weights: list[float], limits: list[float]) -> float:
+    """The largest t in [0, 1] whose tempered weights stay within the limits, bisected; 0 if there is none."""
+
+    def fits(t: float) -> bool:
+        return all(x <= limit * (1 + 1e-12) for x, limit in zip(tempered(shares, weights, t), limits))
+
+    return bisect(fits, 0.0, 1.0)
 
 
 def budgets(plan: list[tuple[str, float, int]], tokens: dict[str, int], size: int) -> list[Budget]:
-    """The budgets of a plan of (source, weight, max_repeat), given each source's tokens and the size of the mix."""
-    out = []
-    for source, weight, repeat in plan:
-        n, weight, repeat = tokens.get(source, 0), max(weight or 0.0, 0.0), max(repeat or 0, 0)
-        t, reached = tempered(n, weight, repeat, size)
-        share = n / size if size else 0.0
-        budget = 0.0 if not n or not weight else weight * size if reached else min(share * (weight / share) ** t * size, n * repeat)
-        if not reached and n and repeat and abs(budget - n * repeat) < 1e-6 * n:
-            budget = float(n * repeat)  # the bisection's limit
-        out.append(Budget(source, weight, repeat, n, t, reached, budget))
-    return out
+    """The budgets of a plan of (source, weight, max_repeat), given each source's tokens and the size of the mix.
+
+    A source without tokens or repetitions reaches only a weight of zero; one whose plan is null or negative counts as weight zero.
+    """
+    rows = {s: (tokens.get(s, 0), max(w or 0.0, 0.0), max(r or 0, 0)) for s, w, r in plan}
+    settled = {s: (0.0, 1.0 if not w * size else 0.0) for s, (n, w, r) in rows.items() if not (n * r and w * size)}
+    while left := [s for s in rows if s not in settled]:
+        n, w, goal, most = zip(*((n, w, w * size, n * r) for n, w, r in (rows[s] for s in left)))
+        whole = sum(goal)
+        t = exponent([x / sum(n) for x in n], [x / sum(w) for x in w], [x / whole for x in most])
+        over = [(s, m) for s, g, m in zip(left, goal, most) if g > m] if t < 1 else []
+        if not over:  # the plan itself
+            settled |= {s: (float(min(g, m)), 1.0) for s, g, m in zip(left, goal, most)}
+        settled |= {s: (float(m), t) for s, m in over}
+    return [Budget(s, w, r, n, settled[s][1], settled[s][0] >= w * size, settled[s][0]) for s, (n, w, r) in rows.items()]
 
 
 def entropy(shares: list[float]) -> float:

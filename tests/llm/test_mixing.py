@@ -1,6 +1,6 @@
 """Mixing: budgets, limits, exponents, and what is really drawn."""
 
-import math
+import random
 from collections import Counter
 
 import pytest
@@ -11,11 +11,27 @@ SCHEMA = "doc_id long, source string, tokens long, turn string, block string"
 
 
 def test_exponents():
-    assert M.tempered(100, 0.5, 4, 1000) == (pytest.approx(math.log(4) / math.log(5)), False)
-    assert M.tempered(100, 0.3, 4, 1000) == (1.0, True) and M.tempered(0, 0.1, 9, 1000) == (0.0, False) and M.tempered(0, 0.0, 9, 1000) == (1.0, True)
-    assert M.tempered(500, 0.6, 1, 1000)[1] is False and M.tempered(5, 0.1, 0, 1000) == (0.0, False) and M.tempered(0, 0.1, 1, 0) == (0.0, True)
+    assert M.tempered([0.1, 0.9], [0.5, 0.5], 0) == pytest.approx([0.1, 0.9]) and M.tempered([0.1, 0.9], [0.3, 0.7], 1) == pytest.approx([0.3, 0.7])
+    t = M.exponent([0.1, 0.9], [0.5, 0.5], [0.2, 2.0])
+    assert M.tempered([0.1, 0.9], [0.5, 0.5], t) == pytest.approx([0.2, 0.8]) and 0 < t < 1
+    assert M.exponent([0.1, 0.9], [0.5, 0.5], [0.5, 0.5]) == 1.0
     b = M.budgets([("a", 0.5, 4), ("b", 0.4, 1), ("c", 0.1, 1), ("d", None, None)], {"a": 100, "b": 900}, 1000)
     assert [round(x.budget) for x in b] == [400, 400, 0, 0] and [x.reached for x in b] == [False, True, False, True] and b[0].passes == 4
+    assert 0 < b[0].exponent < 1 and b[1].exponent == 1.0
+    assert [x.reached for x in M.budgets([("a", 0.1, 1)], {"a": 0}, 0)] == [True] and M.budgets([("a", 0.5, 0)], {"a": 9}, 9)[0].reached is False
+
+
+def test_reached_is_that_of_the_limits():
+    """Random plans: a source is reached exactly if all its repetitions hold its weight, and the budgets say so."""
+    rnd = random.Random(4)
+    for _ in range(300):
+        n = {f"s{i}": rnd.choice([0, 1, 10, 1000]) * rnd.randrange(1, 90) for i in range(6)}
+        weights = [rnd.random() ** 3 for _ in n]
+        plan = [(s, w / sum(weights), rnd.randrange(5)) for s, w in zip(n, weights)]
+        size = sum(n.values())
+        for b in M.budgets(plan, n, size):
+            assert b.reached == (b.tokens * b.max_repeat >= b.weight * size)
+            assert b.budget == pytest.approx(min(b.weight * size, b.tokens * b.max_repeat)) and b.passes * b.tokens + b.rest == pytest.approx(b.budget)
 
 
 def test_entropy():
