@@ -9,6 +9,7 @@ language is accepted rather than rejected. Which languages there are follows fro
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from collections import Counter
@@ -116,9 +117,10 @@ class Model:
     accept: float = 0.5
 
     def scorer(self, memory: int = 300_000):
-        """A function from a sentence's tokens to probabilities; tokens' contributions are kept, up to ``memory`` of them."""
-        known: dict[str, np.ndarray] = {}
+        """A function from sentences to probabilities, one row a sentence; tokens' contributions are kept, about ``memory`` of them."""
         n = len(self.langs)
+        known: dict[str, int] = {}
+        held = np.zeros((1024, n + 1))
 
         def contribution(token: str) -> np.ndarray:
             out = np.zeros(n + 1)
@@ -129,18 +131,24 @@ class Model:
                 out[n] += share * len(g)
             return out
 
-        def score(tokens: list[str]) -> np.ndarray:
-            total = np.zeros(n + 1)
-            for t in tokens:
-                got = known.get(t)
-                if got is None:
-                    if len(known) >= memory:
-                        known.clear()
-                    got = known[t] = contribution(t)
-                total += got
-            z = (total[:n] / max(total[n], 1e-9) + self.bias) / self.temperature
-            p = np.exp(z - z.max())
-            return p / p.sum()
+        def score(sentences: list[list[str]]) -> np.ndarray:
+            nonlocal held
+            if len(known) > memory:
+                known.clear()
+            for t in {t for s in sentences for t in s}.difference(known):
+                if len(known) == len(held):
+                    held = np.concatenate([held, np.zeros_like(held)])
+                held[len(known)] = contribution(t)
+                known[t] = len(known)
+            lengths = np.fromiter(map(len, sentences), np.int64, len(sentences))
+            flat = np.fromiter((known[t] for s in sentences for t in s), np.int64, int(lengths.sum()))
+            total = np.zeros((len(sentences), n + 1))
+            some = np.flatnonzero(lengths)
+            if len(some):
+                total[some] = np.add.reduceat(held[flat], (np.cumsum(lengths) - lengths)[some])
+            z = (total[:, :n] / np.maximum(total[:, n:], 1e-9) + self.bias) / self.temperature
+            p = np.exp(z - z.max(axis=1, keepdims=True)) if len(z) else z
+            return p / p.sum(axis=1, keepdims=True)
 
         return score
 
@@ -209,12 +217,9 @@ def robust_train(rows: list[tuple[list[str], str]], langs: list[str], rounds: in
     known: dict[str, list[str]] = {}
     model = train(rows, langs, steps=first_steps, known=known)
     for n in range(rounds):
-        score = model.scorer()
-        kept = []
-        for s, lang in rows:
-            p = score(s)
-            if p.max() <= 2 * p[langs.index(lang)]:
-                kept.append((s, lang))
+        p = model.scorer()([s for s, _ in rows])
+        own = p[np.arange(len(rows)), [langs.index(lang) for _, lang in rows]]
+        kept = [row for row, good in zip(rows, p.max(axis=1) <= 2 * own) if good]
         if len({lang for _, lang in kept}) < len(langs):
             kept = rows
         model = train(kept, langs, steps=first_steps if n < rounds - 1 else 1000, known=known)
@@ -224,14 +229,15 @@ def robust_train(rows: list[tuple[list[str], str]], langs: list[str], rounds: in
 def calibrate(model: Model, rows: list[tuple[list[str], str]], error: float = 0.005) -> Model:
     """Sets the temperature with the least cross entropy on reviewed sentences, and the least confidence accepted.
 
-    Sentences above that confidence are wrong in at most ``error`` of the cases; with no reviewed sentences the defaults stay.
+    Reviewed sentences above that confidence, which is one half at least, are wrong in at most ``error`` of the cases; where none is
+    confident enough for that, all are rejected. With no reviewed sentences the defaults stay.
     """
     other = [s for s, lang in rows if lang and lang not in model.langs]
     rows = [(s, model.langs.index(lang)) for s, lang in rows if lang in model.langs]
     if not rows:
         return model
     score = model.scorer()
-    logits = np.log(np.maximum(np.stack([score(s) for s, _ in rows]), 1e-30))
+    logits = np.log(np.maximum(score([s for s, _ in rows]), 1e-30))
     y = np.array([k for _, k in rows])
 
     def loss(t: float) -> float:
@@ -239,16 +245,17 @@ def calibrate(model: Model, rows: list[tuple[list[str], str]], error: float = 0.
         z = z - z.max(axis=1, keepdims=True)
         return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(y)), y]).mean())
 
+    others = np.log(np.maximum(score(other), 1e-30))
     model.temperature = float(min(np.geomspace(0.25, 8, 41), key=loss))
     # a sentence of a language that the model lacks is wrong whatever the model says
-    z = np.concatenate([logits / model.temperature, *(np.log(np.maximum(score(s), 1e-30))[None] for s in other)])
+    z = np.concatenate([logits, others]) / model.temperature
     y = np.concatenate([y, np.full(len(other), -1)])
     p = np.exp(z - z.max(axis=1, keepdims=True))
     p /= p.sum(axis=1, keepdims=True)
     order = np.argsort(-p.max(axis=1))
     wrong = np.cumsum(p.argmax(axis=1)[order] != y[order]) / np.arange(1, len(y) + 1)
     good = np.flatnonzero(wrong <= error)
-    model.accept = float(np.clip(p.max(axis=1)[order][good[-1]] if len(good) else 0.9, 0.5, 0.9))
+    model.accept = max(0.5, float(p.max(axis=1)[order][good[-1]])) if len(good) else 1.01
     return model
 
 
@@ -274,8 +281,11 @@ def stretches(scores: list[np.ndarray], accept: float) -> list[tuple[int, int, i
     A stretch needs two accepted sentences; a single one between others is no stretch. With no stretch at all, the language of the greatest
     total is the whole text's; where every sentence is rejected it has none, which is the language -1.
     """
-    if not scores:
+    if not len(scores):
         return []
+    likeliest = np.argmax(scores, axis=1)
+    if (likeliest == likeliest[0]).all() and np.max(scores) >= accept:  # no change of language to look for
+        return [(int(likeliest[0]), 0, len(scores) - 1, float(np.mean(np.asarray(scores)[:, likeliest[0]])))]
     runs: list[list[int]] = []
     path = smoothed(scores, accept)
     for i, k in enumerate(path):
@@ -308,49 +318,82 @@ def bare_label(label: Column) -> Column:
 def languages_among(counts: dict[str, int], read: set[tuple[str | None, str]], least: int = 20) -> list[str]:
     """The languages among labels, from the number of documents that have each and what was ``read``: pairs of a label and the true language.
 
-    ``least`` documents make a language, or fewer where they are one in 400 or a reviewed document is in it, three always. A label
-    that less than one in 400 has is none if documents with it were reviewed and no reviewed document is in it.
+    ``least`` documents make a language, three where a reviewed document is in it or where the corpus has fewer than 20 times
+    ``least`` labels; shares play no part, so a language stays one however large the corpus grows. A label is none if documents with
+    it were reviewed and no reviewed document is in it.
     """
-    share = max(3, sum(counts.values()) / 400)
     true, seen = {t for _, t in read}, {k for k, _ in read}
-    return sorted(k for k, n in counts.items() if n >= share or n >= 3 and (k in true or n >= least and k not in seen))
+    enough = min(least, max(3, sum(counts.values()) // 20))
+    return sorted(k for k, n in counts.items() if n >= 3 and (k in true or n >= enough and k not in seen))
 
 
-def fit(docs: DataFrame, key: str, text: str, label: str, reviewed: DataFrame, per_label: int = 600, per_document: int = 5, reviews: int = 3000) -> Model:
-    """Trains on at most ``per_label`` documents of each label, the first by a hash of the key, and calibrates on ``reviews`` at most.
+def _sampled(key: str, text: str, per_document: int):
+    """Up to ``per_document`` sentences of each text, spread evenly over it, as JSON lists of tokens."""
 
-    ``reviewed`` has rows (key, lang). What is a language, ``languages_among`` says.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, out = [], []
+            for i, x in enumerate(batch.column(text).to_pylist()):
+                s = sentences(x)
+                for j in sorted({int(k) for k in np.linspace(0, len(s) - 1, min(per_document, len(s)))}) if s else ():
+                    rows.append(i)
+                    out.append(json.dumps(s[j]))
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(rows, pa.int32())) for c in (key, "lang")] + [pa.array(out, pa.string())], names=["key", "lang", "tokens"])
+
+    return run
+
+
+def _first(rows: DataFrame, text: DataFrame, per_label: int, per_document: int) -> list[tuple[list[str], str]]:
+    """(tokens, language) of the sentences of ``per_label`` documents of each language of rows (key, lang), the first by a hash.
+
+    Keys are chosen on narrow rows; the texts of those alone are read, and only sampled sentences come to the driver.
     """
-    labelled = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), bare_label(F.col(label)).alias("lang")).where("text is not null")
+    nth = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("key"), "key"))
+    chosen = F.broadcast(rows.withColumn("n", nth).where(f"n <= {per_label}").drop("n"))  # per_label rows of each of at most 26 * 26 languages
+    kind = text.schema["key"].dataType.simpleString()
+    got = text.join(chosen, "key").mapInArrow(_sampled("key", "text", per_document), f"key {kind}, lang string, tokens string")
+    return [(json.loads(r.tokens), r.lang) for r in got.orderBy("lang", F.xxhash64("key"), "key", "tokens").collect()]
+
+
+def held_out(reviewed: DataFrame) -> Column:
+    """Whether a reviewed row takes no part in the calibration: half of them, by a hash of the key."""
+    return F.pmod(F.xxhash64(reviewed.columns[0], F.lit("held out")), F.lit(2)) == 1
+
+
+def fit(docs: DataFrame, key: str, text: str, label: str, reviewed: DataFrame, per_label: int = 600, per_document: int = 5, reviews: int = 1500) -> Model:
+    """Trains on bounded samples: ``per_label`` documents of each label and ``per_document`` sentences of each, spread over the text.
+
+    ``reviewed`` has rows (key, lang), what a person read. ``reviews`` of each language calibrate the model, by sentences as above,
+    but never those that are ``held_out``, on which its accuracy may be measured. What is a language, ``languages_among`` says.
+    """
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null and text is not null")
+    labelled = docs.select(F.col(key).alias("key"), bare_label(F.col(label)).alias("lang")).where(F.col(text).isNotNull() & F.col(key).isNotNull())
     known = labelled.where("lang is not null")
     counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}  # at most 26 * 26 labels
-    read = reviewed.select(F.col(reviewed.columns[0]).alias("key"), bare_label(F.col("lang")).alias("truth")).where("key is not null").distinct()
-    read = labelled.join(read, "key")
-    langs = languages_among(counts, set())
-    if any(n < sum(counts.values()) / 400 for n in counts.values()):
-        langs = languages_among(counts, {(r.lang, r.truth) for r in read.where("truth is not null").select("lang", "truth").distinct().collect()})
+    half = reviewed.where(~held_out(reviewed))
+    half = half.select(F.col(reviewed.columns[0]).alias("key"), bare_label(F.col("lang")).alias("truth")).where("key is not null and truth is not null").distinct()
+    # pairs of two labels: at most 26 ** 4, in fact a few
+    read = {(r.lang, r.truth) for r in labelled.join(half, "key").groupBy("lang", "truth").count().collect()}
+    langs = languages_among(counts, read)
     if len(langs) < 2:
         return Model(langs or ["und"], np.zeros((1, 1), np.float32), np.zeros((1, max(1, len(langs))), np.float32), np.zeros(max(1, len(langs)), np.float32))
-    nth = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("key"), "key"))
-    sample = known.where(F.col("lang").isin(langs) & (F.length("text") < 20_000)).withColumn("n", nth).where(f"n <= {per_label}").orderBy("lang", "n").collect()
-    rows = []
-    for r in sample:
-        s = sentences(r.text)
-        rows += [(s[i], r.lang) for i in sorted({int(i) for i in np.linspace(0, len(s) - 1, min(per_document, len(s)))})] if s else []
+    rows = _first(known.where(F.col("lang").isin(langs)), texts, per_label, per_document)
     langs = sorted({lang for _, lang in rows})
     model = robust_train(rows, langs)
-    read = read.orderBy(F.xxhash64("key"), "key").limit(reviews).select("text", "truth").collect()
-    return calibrate(model, [(s, r.truth) for r in read for s in sentences(r.text)[:6]])
+    return calibrate(model, _first(half.withColumnRenamed("truth", "lang"), texts, reviews, per_document))
 
 
 def _labelled(model, key: str, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(**model.value)
         score = m.scorer()
-        for batch in batches:
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             rows, cols = [], [[] for _ in range(5)]
-            for i, x in enumerate(batch.column(text).to_pylist()):
-                found = stretches([score(s) for s in sentences(x)], m.accept)
+            parts = [sentences(x) for x in batch.column(text).to_pylist()]
+            scores = score([s for x in parts for s in x])
+            ends = np.cumsum([len(x) for x in parts])
+            for i, (x, end) in enumerate(zip(parts, ends)):
+                found = stretches(scores[end - len(x) : end], m.accept) if x else []
                 for n, (k, first, last, sure) in enumerate(found):
                     rows.append(i)
                     for c, v in zip(cols, (n + 1, len(found), last - first + 1, m.langs[k] if k >= 0 else "und", sure)):
