@@ -26,6 +26,8 @@ from pyspark.sql import Window as W
 FENCE = re.compile(r"(```|~~~).*?(?:\1|\Z)", re.S)
 INLINE = re.compile(r"`[^`\n]*`")
 LINK = re.compile(r"!?\[([^\]\n]*)\]\([^)\s]*\)|<?\b(?:https?|ftp)://\S+|\bwww\.\S+|\S+@\S+\.\w+|<\|[^|<>]*\|>|</?\w[^<>\n]*>", re.I)
+#: One of these is in every match of LINK, but for www in any case.
+LINKED = ("](", "://", "@", "<")
 LOG = re.compile(r"^\W*(?:\d{4}-\d\d-\d\d[T ])?\d\d:\d\d:\d\d\b|^\s*(?:TRACE|DEBUG|INFO|WARN|ERROR)\b|^\s*at [\w.$]+\(")
 HUNK = re.compile(r"^\s*(?:@@|diff --git|index [0-9a-f]+\.\.|\+\+\+ |--- |\S+/\S+\s+\|\s+\d+)")
 CODE = re.compile(
@@ -74,10 +76,17 @@ def sentences(text: str | None, least: int = 4, least_cjk: int = 8) -> list[list
     """
     if not text:
         return []
-    if HIGH.search(text):
-        text = HIGH.sub(_repaired, text)
-    text = UNSEEN.sub("", unicodedata.normalize("NFKC", text)).replace("\r\n", "\n").replace("\r", "\n")
-    text = LINK.sub(lambda m: f" {m.group(1) or ''} ", INLINE.sub(f" {GAP} ", FENCE.sub("\n\n", CONTROL.sub(" ", text))))
+    if not text.isascii():
+        if HIGH.search(text):
+            text = HIGH.sub(_repaired, text)
+        text = UNSEEN.sub("", unicodedata.normalize("NFKC", text))
+    text = CONTROL.sub(" ", text.replace("\r\n", "\n").replace("\r", "\n"))
+    if "```" in text or "~~~" in text:
+        text = FENCE.sub("\n\n", text)
+    if "`" in text:
+        text = INLINE.sub(f" {GAP} ", text)
+    if any(mark in text for mark in LINKED) or "WWW." in text.upper():
+        text = LINK.sub(lambda m: f" {m.group(1) or ''} ", text)
     blocks, block = [], []
     for line in text.split("\n"):
         bare = line.strip()
@@ -93,16 +102,22 @@ def sentences(text: str | None, least: int = 4, least_cjk: int = 8) -> list[list
     for b in blocks:
         for s in SENTENCE.split(b) if b else ():
             t = TOKEN.findall(s)
-            if sum(len(x) for x in t if CJK.search(x)) >= least_cjk if CJK.search(s) else len(t) >= least and sum(len(x) > 1 and x.isalpha() for x in t) >= 3:
+            if not s.isascii() and CJK.search(s):
+                if sum(len(x) for x in t if CJK.search(x)) >= least_cjk:
+                    out.append(t)
+            elif len(t) >= least and sum([len(x) > 1 and x.isalpha() for x in t]) >= 3:
                 out.append(t)
     return out
 
 
+HASH = xxhash.xxh32_intdigest
+
+
 def grams(word: str, buckets: int) -> list[int]:
     """Hashed subwords of a word: itself, and its runs of 2 to 4 characters between marks of its ends."""
     w = f"<{word}>"
-    got = {w, *(w[i : i + n] for n in (2, 3, 4) for i in range(len(w) - n + 1))}
-    return [xxhash.xxh32_intdigest(g) % buckets for g in sorted(got)]
+    got = {w, *[w[i : i + n] for n in (2, 3, 4) for i in range(len(w) - n + 1)]}
+    return [HASH(g) % buckets for g in sorted(got)]
 
 
 @dataclass
@@ -122,24 +137,33 @@ class Model:
         known: dict[str, int] = {}
         held = np.zeros((1024, n + 1))
 
-        def contribution(token: str) -> np.ndarray:
-            out = np.zeros(n + 1)
-            for w in words_of(token):
-                g = grams(w, len(self.table))
-                share = 1.0 if w in self.common else RARE
-                out[:n] += share * (self.table[g].sum(axis=0) @ self.weights)
-                out[n] += share * len(g)
+        projected = (self.table.astype(np.float64) @ self.weights) if len(self.table) > 1 else np.zeros((1, n))
+
+        def contributions(tokens: list[str]) -> np.ndarray:
+            flat, share, owner = [], [], []
+            for i, token in enumerate(tokens):
+                for w in words_of(token):
+                    g = grams(w, len(self.table))
+                    flat += g
+                    share += [1.0 if w in self.common else RARE] * len(g)
+                    owner += [i] * len(g)
+            out = np.zeros((len(tokens), n + 1))
+            if flat:
+                owner, share = np.array(owner), np.array(share)
+                first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+                out[owner[first], :n] = np.add.reduceat(projected[flat] * share[:, None], first)
+                out[owner[first], n] = np.add.reduceat(share, first)
             return out
 
         def score(sentences: list[list[str]]) -> np.ndarray:
             nonlocal held
             if len(known) > memory:
                 known.clear()
-            for t in {t for s in sentences for t in s}.difference(known):
-                if len(known) == len(held):
-                    held = np.concatenate([held, np.zeros_like(held)])
-                held[len(known)] = contribution(t)
-                known[t] = len(known)
+            new = list({t for s in sentences for t in s}.difference(known))
+            if len(known) + len(new) > len(held):
+                held = np.concatenate([held, np.zeros((max(len(held), len(new)), n + 1))])
+            held[len(known) : len(known) + len(new)] = contributions(new)
+            known.update(zip(new, range(len(known), len(known) + len(new))))
             lengths = np.fromiter(map(len, sentences), np.int64, len(sentences))
             flat = np.fromiter((known[t] for s in sentences for t in s), np.int64, int(lengths.sum()))
             total = np.zeros((len(sentences), n + 1))
