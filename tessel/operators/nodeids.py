@@ -22,8 +22,9 @@ def with_canonical_id(df: DataFrame, column: str, aliases: DataFrame, to: str) -
     """
     now = aliases.select(folded(F.col("alias")).alias("_repo"), folded(F.col("repo")).alias("_new")).where("_repo is not null").groupBy("_repo").agg(F.min("_new").alias("_new"))
     df = df.withColumn("_id", folded(F.col(column))).withColumn("_repo", F.regexp_extract("_id", ID, 2))
-    new = F.concat(F.regexp_extract("_id", ID, 1), "_new", F.regexp_extract("_id", ID, 3))
-    return df.join(now, "_repo", "left").withColumn(to, F.coalesce(new, "_id")).drop("_id", "_repo", "_new")
+    # only ids of a renamed repo are taken apart again
+    new = F.when(F.col("_new").isNotNull(), F.concat(F.regexp_extract("_id", ID, 1), "_new", F.regexp_extract("_id", ID, 3))).otherwise(F.col("_id"))
+    return df.join(now, "_repo", "left").withColumn(to, new).drop("_id", "_repo", "_new")
 
 
 def id_kind(value: Column) -> Column:

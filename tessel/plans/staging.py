@@ -1,7 +1,7 @@
 """Intermediate tables in the shared folder.
 
 ``stage`` writes a DataFrame once and reads it back, which cuts lineage and lets several consumers read only the columns they need.
-The folder is the one the session names in ``spark.checkpoint.dir``; a private one is made only where that setting is missing.
+The folder is the one the session names in ``spark.checkpoint.dir``, which must be set on a cluster; in local mode a private one is made where it is not.
 Staged tables survive the loss of executors, since all of them reach that folder; they are removed when the driver ends.
 """
 
@@ -18,24 +18,27 @@ _own: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, or a folder made for this process where none is set."""
+    """The session's checkpoint folder. Only where all tasks run on this machine may it be unset; then this process makes one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="tessel-"))
     return _own[0]
 
 
-def stage(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` to the shared folder and return it as read from there."""
+def stage(df: DataFrame, name: str = "table", by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, in folders by the value of a column if one is given, and return it as read from there."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     if not _made:
         atexit.register(_clear)
     _made.append((spark, path))
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(by) if by else out).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
