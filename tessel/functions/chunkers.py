@@ -52,37 +52,50 @@ def markdown(text: str, limit: int = 2400, least: int = 40) -> list[Piece]:
     return out
 
 
-DEFINITION = re.compile(r"^( {0,4})(?:(?:private|protected|public|final|sealed|abstract|implicit|override|lazy|inline|case|static|open)(?:\[\w+\])?\s+)*(class|object|trait|enum|def|val|var|type|given|interface|record)\s+(\w+|`[^`]+`)")
-SCOPES = ("class", "object", "trait", "enum", "interface", "record")
+#: Modifiers and kinds of a definition. Fixed values.
+MODIFIERS = "private protected public final sealed abstract implicit override lazy inline case static open"
+SCOPES = "class object trait enum interface record".split()
+MEMBERS = "def val var type given".split()
+DEFINITION = re.compile(rf"(?P<indent> {{0,4}})(?:(?:{'|'.join(MODIFIERS.split())})(?:\[\w+\])?\s+)*(?P<kind>{'|'.join(SCOPES + MEMBERS)})\s+(?P<name>\w+|`[^`]+`)")
+ABOVE = re.compile(r"\s*(?:/\*|\*|//|@)|.*\*/\s*$")
 
 
 def scala(text: str, limit: int = 2400, least: int = 20) -> list[Piece]:
-    """One piece per definition indented by four blanks or less, with the comments above it, named by its enclosing definitions."""
+    """One piece per definition indented by four blanks or less, with the comments above it, named by its enclosing definitions.
+
+    Lines are read from the end: each definition takes the lines below it and those of its comments, so what is left at the top, if
+    anything, is the header. Names follow from the indents on the way back down.
+    """
     lines = text.splitlines()
-    marks: list[tuple[int, str, str, int]] = []
-    for i, line in enumerate(lines):
-        d = DEFINITION.match(line)
-        if d:
-            at = i
-            while at and re.match(r"\s*(?:\*|/\*|//|@)|.*\*/\s*$", lines[at - 1]):
-                at -= 1
-            if not marks or at > marks[-1][0]:
-                marks.append((at, d[2], d[3].strip("`"), len(d[1])))
-    if not marks or marks[0][0] > 0:
-        marks.insert(0, (0, "", "(header)" if marks else "(file)", 0))
-    out, scope, seen = [], [], Counter()
-    for (at, kind, name, indent), end in zip(marks, [m[0] for m in marks[1:]] + [len(lines)]):
-        scope = [s for s in scope if s[1] < indent]
-        trail = ".".join(s[0] for s in scope)
-        if kind in SCOPES:
-            scope.append((name, indent))
-        for off, part in split_big(lines[at:end], limit):
-            body = "\n".join(part).strip("\n")
-            if len(body.strip()) >= least:
-                full = f"{trail}.{name}" if trail else name
-                seen[full] += 1
-                out.append(Piece(f"{full}#{seen[full]}", body, at + off + 1, trail))
-    return out
+    units: list[tuple[int, int, re.Match | None]] = []
+    end, i = len(lines), len(lines) - 1
+    while i >= 0:
+        found = DEFINITION.match(lines[i])
+        if found:
+            while i > 0 and ABOVE.match(lines[i - 1]) and not DEFINITION.match(lines[i - 1]):
+                i -= 1
+            units.append((i, end, found))
+            end = i
+        i -= 1
+    if end > 0 or not units:
+        units.append((0, end, None))
+    enclosing: dict[int, str] = {}
+    pieces: list[tuple[str, str, int, str]] = []
+    for start, stop, found in reversed(units):
+        depth = len(found["indent"]) if found else 0
+        enclosing = {k: v for k, v in enclosing.items() if k < depth}
+        trail = ".".join(enclosing.values())
+        name = found["name"].strip("`") if found else "(header)" if len(units) > 1 else "(file)"
+        if found and found["kind"] in SCOPES:
+            enclosing[depth] = name
+        pieces += [(f"{trail}.{name}".lstrip("."), "\n".join(part).strip("\n"), start + off + 1, trail) for off, part in split_big(lines[start:stop], limit)]
+    return _numbered([p for p in pieces if len(p[1].strip()) >= least])
+
+
+def _numbered(pieces: list[tuple[str, str, int, str]]) -> list[Piece]:
+    """Pieces of (name, text, line, trail), each name with its number of occurrence."""
+    seen: Counter[str] = Counter()
+    return [Piece(f"{name}#{seen.update([name]) or seen[name]}", body, line, trail) for name, body, line, trail in pieces]
 
 
 def _braces(text: str) -> list[tuple[int, int]]:
@@ -177,16 +190,21 @@ def phrases(text: str, least: int = 4, most: int = 12) -> list[Piece]:
     return out
 
 
+#: What a scanner of comments meets: a comment, or a literal in which none begins.
+COMMENT = re.compile(r'/\*(?P<block>.*?)(?:\*/|\Z)|(?<!:)//(?P<line>[^\n]*)|"""(?:.|\n)*?(?:"""|\Z)|"(?:\\.|[^"\\\n])*"?', re.S)
+
+
 def code_comments(text: str) -> str:
-    """The comments of Scala or Java source, one line each, also of a piece that begins within a block comment."""
-    out, block = [], False
-    for line in map(str.strip, text.splitlines()):
-        if block or line.startswith(("/*", "*")):
-            out.append(line)
-            block = (block or line.startswith("/*")) and "*/" not in line
-        elif m := re.search(r"(?<!:)//(.*)", line):
-            out.append(m[1])
-    return "\n".join(out)
+    """What the comments of Scala or Java source say, one line each, without their marks.
+
+    A piece may begin within a block comment: what stands before an end that has no beginning is one.
+    """
+    begin, end = text.find("/*"), text.find("*/")
+    inside = end >= 0 and not 0 <= begin < end
+    parts = [text[:end]] if inside else []
+    parts += [m["block"] or m["line"] or "" for m in COMMENT.finditer(text, end + 2 if inside else 0)]
+    said = (re.sub(r"^\s*\*+ ?|^\s+|\s+$", "", x) for p in parts for x in p.split("\n"))
+    return "\n".join(x for x in said if x)
 
 
 def gist(text: str, least: int = 6, most: int = 280) -> str:

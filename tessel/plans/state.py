@@ -209,8 +209,8 @@ def pack_small_units(spark: SparkSession, folder: str) -> DataFrame:
 
 @QUERIES.add("code_comments")
 def code_comments(spark: SparkSession, folder: str) -> DataFrame:
-    """CH8: the comments of code."""
-    return _size(chunking.chunked(_code(spark, folder), "rid", "text", chunkers.one(chunkers.code_comments)))
+    """CH8: the comments of all texts that hold code, in whatever kind of chunk."""
+    return _size(chunking.chunked(_texts(spark, folder), "rid", "text", chunkers.one(chunkers.code_comments)))
 
 
 @QUERIES.add("sentence_groups")

@@ -74,12 +74,16 @@ def test_diff_and_upsert(spark):
 
 def test_references():
     keys = lambda text, **kw: [(r.kind, r.repo, r.key, r.via, r.closing) for r in Parser(**kw)(text)]
-    assert [k[:4] for k in keys("see #12, (#13) and scala/bug#14")] == [("issue", None, "12", "bare"), ("issue", None, "13", "bare"), ("issue", "scala/bug", "14", "qual")]
-    assert [k[4] for k in keys("Fixes #1, #2 and scala/bug#3. See #4.")] == [True, True, True, False]
-    assert [k[4] for k in keys("Fixes #1, #2", lists=False)] == [True, False]
-    assert keys("invokevirtual #38 &#123; C#1\n```\n#9\n```") == []
-    assert [k[2] for k in keys("https://f.example/t/slug/6403/12 https://f.example/t/7/3", forums=("f.example",))] == ["6403", "7"]
-    assert keys(None) == [] and keys("") == []
+    assert [k[:4] for k in keys("as in #81, also [#82] or lumen/forge#83")] == [("issue", None, "81", "bare"), ("issue", None, "82", "bare"), ("issue", "lumen/forge", "83", "qual")]
+    assert [k[4] for k in keys("This resolves #5, #6 & lumen/forge#7. Compare #8.")] == [True, True, True, False]
+    assert [k[4] for k in keys("Closed: #5 and #6", lists=False)] == [True, False] and [k[4] for k in keys("fix the parser for #5")] == [False]
+    assert keys("  12: invokestatic #44\n  #7 = Utf8 x\n&#55; F#4\n```\n#66\n```") == [] and [k[2] for k in keys("```\n#66\n```\n#67")] == ["67"]
+    sha = "0123456789abcdef0123456789abcdef01234567"
+    assert [(k[0], k[2]) for k in keys(f"reverts abcdef1 by {sha}")] == [("commit", "abcdef1"), ("commit", sha)]
+    assert [k[:3] for k in keys("https://forge.example/lumen/forge/pull/9 https://forge.example/lumen/forge/commit/abcdef12", hosts=("forge.example",))] == [("issue", "lumen/forge", "9"), ("commit", "lumen/forge", "abcdef12")]
+    assert [k[2] for k in keys("https://talk.example/t/some-title/31/4 https://talk.example/t/8/2", forums=("talk.example",))] == ["31", "8"]
+    assert keys("old-12", legacy={"old": "lumen/forge"}) == [] and [k[:4] for k in keys("OLD-12", legacy={"OLD": "lumen/forge"})] == [("issue", "lumen/forge", "12", "legacy")]
+    assert [k[4] for k in keys("#5 is open, but fixes #5")] == [True] and keys(None) == [] and keys("") == []
 
 
 def test_chunkers():
@@ -89,19 +93,23 @@ def test_chunkers():
     code = "package p\n\n/** Doc. */\nclass Foo {\n  def bar(x: Int): Int = {\n    x + 1\n  }\n\n  def baz: String = \"a longer body here\"\n}\n"
     assert [p.name for p in chunkers.scala(code, least=5)] == ["(header)#1", "Foo#1", "Foo.bar#1", "Foo.baz#1"]
     java = "class A {\n  int x = 1; // {\n  void f() { if (x > 0) { g(\"}\"); } }\n  int g(String s) { return s.length(); }\n}\n"
-    assert [p.name for p in chunkers.java(java, least=5)][-2:] == ["A.f#1", "A.g#1"] or "A.f#1" in [p.name for p in chunkers.java(java, least=5)]
+    assert [p.name for p in chunkers.java(java, least=5)][:3] == ["A#1", "A.f#1", "A.g#1"]
     assert [p.text for p in chunkers.pack([chunkers.Piece("a", "x" * 10, 1), chunkers.Piece("b", "y" * 10, 2), chunkers.Piece("c", "z" * 30, 3)], 25)] == ["x" * 10 + "\n\n" + "y" * 10, "z" * 30]
     assert [p.trail for p in chunkers.sentence_groups("One. Two.\n\nThree.", 20)] == ["", "new"]
     assert chunkers.fold_trace("\n".join(["E"] + ["  at x"] * 9)).count("at x") == 6
     assert chunkers.doc_sentence("/** Gets the {@code x}. More.\n * @return y */") == "Gets the x."
     assert chunkers.gist("# H\n\n> q\n\nThis is the first paragraph of prose here.") == "This is the first paragraph of prose here."
-    assert chunkers.code_comments("a // b\n/* c\n d */\ne") == " b\n/* c\nd */"
+    assert chunkers.code_comments('x = "// no" // one\n/** two\n * three */\ny https://a.example') == "one\ntwo\nthree"
+    assert chunkers.code_comments("rest of it */\ncode // more") == "rest of it\nmore" and chunkers.code_comments("") == ""
 
 
 def test_ocr():
-    a = {"text": "The index ends up empty after the up-", "box": [0, 0, 100, 10]}
-    b = {"text": "date of the server.", "box": [0, 11, 60, 10]}
-    assert ocr.paragraphs([a, b]) == ["The index ends up empty after the update of the server."]
+    line = lambda text, y, width, x=0, h=10: {"text": text, "box": [x, y, width, h]}
+    assert ocr.paragraphs([line("The harbour lights went out one by one un-", 0, 210), line("til dawn.", 11, 45)]) == ["The harbour lights went out one by one until dawn."]
+    assert ocr.paragraphs([line("A line that has an end of its own.", 0, 170), line("and another", 11, 55)]) == ["A line that has an end of its own.", "and another"]
+    assert len(ocr.paragraphs([line("Short first line here", 0, 105), line("a", 11, 5), line("much longer line that sets the edge", 40, 175)])) == 3
+    assert len(ocr.paragraphs([line("Words that fill the whole line", 0, 150), line("far below", 60, 45)])) == 2
+    assert ocr.paragraphs([line("\u6771\u4eac\u306e\u5929\u6c17\u306f\u4eca\u65e5", 0, 80), line("\u6674\u308c", 11, 20)]) == ["\u6771\u4eac\u306e\u5929\u6c17\u306f\u4eca\u65e5\u6674\u308c"]
     assert ocr.paragraphs([{"text": "x"}, {"text": "y", "box": None}]) == ["x", "y"] and ocr.paragraphs([]) == []
 
 
