@@ -17,11 +17,22 @@ SIZE = 256
 MODEL = "brook-embed-2"
 
 
+#: All pairs of texts that share a word.
+_SIMILAR = r"""WITH cur AS (SELECT rid, text FROM chunks WHERE rid IS NOT NULL QUALIFY row_number() OVER (PARTITION BY rid ORDER BY updated DESC NULLS LAST, ingested DESC NULLS LAST) = 1),
+w AS (SELECT rid, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS word FROM cur), c AS (SELECT rid, word, count(*) AS n FROM w GROUP BY ALL),
+t AS (SELECT rid, sum(n) AS n FROM c GROUP BY rid HAVING sum(n) >= 40), k AS (SELECT c.*, t.n AS words FROM c JOIN t USING (rid))
+SELECT a.rid AS rid_a, b.rid AS rid_b FROM k a JOIN k b ON a.word = b.word AND a.rid < b.rid AND 5 * least(a.words, b.words) >= 4 * greatest(a.words, b.words)
+GROUP BY ALL HAVING 5 * sum(least(a.n, b.n)) >= 4 * (max(a.words) + max(b.words) - sum(least(a.n, b.n)))"""
+
+_USABLE = f"""u AS (SELECT rid, v::DOUBLE[] AS v FROM vec WHERE model = '{MODEL}' AND rid IS NOT NULL AND len(v) = {SIZE} AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+ AND len(list_filter(v, lambda x: x <> 0)) > 0 QUALIFY row_number() OVER (PARTITION BY rid ORDER BY v) = 1)"""
+
+
 def _near_duplicates(spark: SparkSession, folder: str) -> NearDuplicates:
     return NearDuplicates(table(spark, folder, "chunks", "rid", "text", "updated", "ingested"), "rid", "text", ["updated", "ingested"])
 
 
-@QUERIES.add("p1_found")
+@QUERIES.add("p1_found", _SIMILAR)
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of chunks whose current texts share at least 0.8 of their words."""
     return _near_duplicates(spark, folder).pairs().select(F.col("a").alias("rid_a"), F.col("b").alias("rid_b"))
@@ -44,7 +55,12 @@ def _item_points(spark: SparkSession, folder: str) -> DataFrame:
     return items.join(rids, ["project", "id"]).join(_usable(spark, folder).withColumnRenamed("key", "rid"), "rid").select(F.col("idx").alias("key"), "v", "digest")
 
 
-@QUERIES.add("p2_found")
+@QUERIES.add(
+    "p2_found",
+    f"""WITH {_USABLE}, i AS (SELECT idx, min({{'p': project, 'i': id}}) AS c FROM items WHERE idx IS NOT NULL GROUP BY idx), r AS (SELECT project, id, min(rid) AS rid FROM chunks GROUP BY ALL),
+p AS (SELECT idx, v FROM i JOIN r ON i.c.p = r.project AND i.c.i = r.id JOIN u USING (rid))
+SELECT a.idx AS idx_a, min(b.idx) AS idx_b FROM p a JOIN p b ON b.idx > a.idx AND list_cosine_similarity(a.v, b.v) >= 0.5 GROUP BY a.idx""",
+)
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Each item and the next one of its cluster."""
     labels = density.density_clusters(stage(_item_points(spark, folder), "points"), SIZE)
@@ -119,7 +135,11 @@ def _neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return knn.nearest_neighbours(stage(_usable(spark, folder), "points"), SIZE)
 
 
-@QUERIES.add("p5_found")
+@QUERIES.add(
+    "p5_found",
+    f"""WITH {_USABLE}, s AS (SELECT a.rid AS a, b.rid AS b, round(list_cosine_similarity(a.v, b.v), 9) AS s FROM u a JOIN u b ON a.rid <> b.rid),
+t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 8) SELECT DISTINCT least(a, b) AS rid_a, greatest(a, b) AS rid_b FROM t WHERE s >= 0.9""",
+)
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of vectors with a cosine of at least 0.9, one being among the other's 8 most similar."""
     near = _neighbours(spark, folder).where("sim >= 0.9")
