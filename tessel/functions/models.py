@@ -75,3 +75,21 @@ def yes_probability(yes: Column, no: Column) -> Column:
 def log_prob(tokens: Column) -> Column:
     """The log-probability of a sequence: the sum over its tokens' ones."""
     return F.aggregate(tokens, F.lit(0.0), lambda a, x: a + x)
+
+
+def softmax(scores: Column, temperature: float = 1.0) -> Column:
+    """Probabilities of an array of scores or log-probabilities; a null array stays null."""
+    top = F.array_max(scores)
+    x = F.transform(scores, lambda v: F.exp((v - top) / temperature))
+    total = F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+    return F.transform(x, lambda v: v / total)
+
+
+def yes_probability(yes: Column, no: Column) -> Column:
+    """The softmax of two logits."""
+    return 1.0 / (1.0 + F.exp(no - yes))
+
+
+def option_scores(tokens: DataFrame, option: str, logprob: str) -> DataFrame:
+    """(option, total, mean): the summed and the mean log-probability of each option's tokens."""
+    return tokens.groupBy(option).agg(F.sum(logprob).alias("total"), F.avg(logprob).alias("mean"))

@@ -110,3 +110,10 @@ def edge_confidence(how: Column, certainty: Column) -> Column:
 def sample_edges(edges: DataFrame, type_: str, n: int, seed: int = 0) -> DataFrame:
     """``n`` edges of a type, the first by a hash of their ends and the seed."""
     return edges.where(F.col("type") == type_).orderBy(F.xxhash64("src", "dst", F.lit(seed)), "src", "dst").limit(n)
+
+
+def strongest(edges: DataFrame) -> DataFrame:
+    """Of rows (src, dst, type, conf, how, snip, known) the surest of each src, dst and type; mentions go where the two are joined by closes."""
+    best = edges.groupBy("src", "dst", "type").agg(F.max(F.struct("conf", "how", "snip", "known")).alias("x")).select("src", "dst", "type", "x.*")
+    closed = best.where("type = 'closes'").select("src", "dst", F.lit("mentions").alias("type"))
+    return best.join(closed, ["src", "dst", "type"], "left_anti")

@@ -1,4 +1,4 @@
-"""Chunk tables: current rows, differences, heads, assembled documents."""
+"""Chunk tables: current rows, differences, upserts."""
 
 from __future__ import annotations
 
@@ -25,12 +25,6 @@ def upsert(old: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return old.join(changes.select(key), key, "left_anti").unionByName(changes)
 
 
-def assembled(chunks: DataFrame, by: list[str], order: list[Column], part: Column, glue: str = "\n\n") -> DataFrame:
-    """One text per document: its parts in order. A document is a bounded unit; null parts are left out."""
-    rows = chunks.select(*by, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], part.alias("part")).alias("x")).where("x.part is not null")
-    return rows.groupBy(*by).agg(F.array_sort(F.collect_list("x")).alias("x"), F.count("*").alias("parts")).select(*by, "parts", F.array_join(F.transform("x", lambda y: y["part"]), glue).alias("text"))
-
-
 def middle_cut(text: Column, head: int, tail: int, marker: str = "\n[...]\n") -> Column:
     """A text of more than head + tail characters without its middle."""
     return F.when(F.length(text) > head + tail, F.concat(F.substring(text, 1, head), F.lit(marker), F.substring(text, -tail, tail))).otherwise(text)

@@ -1,4 +1,4 @@
-"""Means of groups of vectors, and assignment to centres."""
+"""Means of groups of vectors, assignment to centres, and spherical k-means."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessel.plans.staging import stage
+
 #: Most centres that are broadcast; more are assigned in several scans.
 BLOCK = 4096
 
@@ -79,3 +81,53 @@ def assign_to_centres(df: DataFrame, key: str, vector: str, centres: DataFrame,
     if out is None:
         return rows.select(key, F.lit(None).cast("long").alias("centre"), F.lit(None).cast("double").alias("sim")).limit(0)
     return out.groupBy(key).agg(F.max(F.struct("sim", (-F.col("centre")).alias("neg"))).alias("x")).select(key, (-F.col("x.neg")).alias("centre"), "x.sim")
+
+
+def _seeds(x: np.ndarray, k: int, rng) -> np.ndarray:
+    """k-means++: each next centre is drawn with a chance in proportion to the distance from those there are."""
+    out = [x[rng.integers(len(x))]]
+    far = np.maximum(0, 1 - x @ out[0])
+    while len(out) < min(k, len(x)):
+        total = far.sum()
+        out.append(x[rng.choice(len(x), p=far / total) if total > 1e-12 else rng.integers(len(x))])
+        far = np.minimum(far, np.maximum(0, 1 - x @ out[-1]))
+    return np.array(out)
+
+
+def spherical_kmeans(df: DataFrame, key: str, vector: str, k: int, rounds: int = 25, tolerance: float = 1e-4, sample: int = 8192, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(key, centre, sim) of each usable vector, and the centres (centre_id, centre), by cosine; ``k`` is at most BLOCK.
+
+    Seeds come from a bounded sample, the first rows by a hash of the key; every round assigns all vectors and takes the normalised
+    sums, of which only ``k`` reach the driver. A centre that lost its vectors is set on the vector least like its own centre. Ends
+    when no centre moves by more than ``tolerance``. Null, zero and non-finite vectors are left out; there are no more centres than
+    sampled vectors, and an empty input gives two empty tables.
+    """
+    if not 0 < k <= BLOCK:
+        raise ValueError(f"k is 1 to {BLOCK}")
+    spark = df.sparkSession
+    usable = F.aggregate(vector, F.lit(0.0), lambda a, x: a + F.coalesce(x.cast("double"), F.lit(float("nan"))) * x.cast("double"))
+    rows = stage(df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).withColumn("_n", usable).where("_n > 0 and not isnan(_n) and _n < double('inf')").select(key, F.col(vector).alias("v")), "kmeans")
+    got = rows.orderBy(F.xxhash64(key), key).limit(sample).select("v").collect()
+    table = lambda c: spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(c)], "grp long, centre array<double>")
+    if not got:
+        return rows.select(key, F.lit(0).cast("long").alias("centre"), F.lit(0.0).alias("sim")), table([])
+    x = np.array([r.v for r in got], np.float64)
+    centres = _seeds(x / np.linalg.norm(x, axis=1, keepdims=True), k, np.random.default_rng(seed))
+    for _ in range(rounds):
+        near = assign_to_centres(rows, key, "v", table(centres), "grp")
+        near = stage(near, "assigned")
+        means = group_means(rows.join(near.withColumnRenamed("centre", "grp"), key), "grp", "v").collect()  # k rows
+        new = np.zeros_like(centres)
+        for r in means:
+            new[r.grp] = r.centre
+        lost = np.flatnonzero(~new.any(axis=1))
+        if len(lost):
+            far = near.orderBy("sim", key).limit(len(lost)).join(rows, key).select("sim", key, "v").orderBy("sim", key).collect()  # as many as centres were lost
+            for i, r in zip(lost, far):
+                v = np.array(r.v, np.float64)
+                new[i] = v / np.linalg.norm(v)
+        shift = float(np.abs(new - centres).max())
+        centres = new
+        if shift <= tolerance and not len(lost):
+            break
+    return assign_to_centres(rows, key, "v", table(centres), "grp"), table(centres).withColumnRenamed("grp", "centre_id")

@@ -217,13 +217,20 @@ SELECT rid, number, CASE WHEN own IS NOT NULL THEN own WHEN others >= 1 THEN oth
 def fallback_resolve(spark: SparkSession, folder: str) -> DataFrame:
     """Where ``#n`` in a chunk leads: its own project's item, else another project's (less certain if several have it)."""
     k = table(spark, folder, "nodes", "repo", "kind", "ref", "project").where("kind in ('issue', 'pr') and repo is not null and ref is not null and project is not null")
-    # one row a number: its repos by project
-    k = k.groupBy(F.col("ref").alias("number")).agg(F.collect_set(F.struct("project", "repo")).alias("where"))
+    k = k.select(F.col("ref").alias("number"), "project", "repo").distinct()
+    # a number stands in as many repos as there are, so nothing is gathered by number: counts and least repos say all that is asked
+    own = k.groupBy("number", "project").agg(F.max("repo").alias("own"), F.min("repo").alias("low"))
+    by_repo = k.groupBy("number", "repo").agg(F.count("*").alias("projects"), F.min("project").alias("project"))
+    only = by_repo.where("projects = 1").groupBy("number", "project").agg(F.count("*").alias("only_here"))
+    first = own.groupBy("number").agg(F.min(F.struct("low", "project")).alias("first"))
+    second = own.join(first, "number").where("project != first.project").groupBy("number").agg(F.min("low").alias("second"))
+    all_ = by_repo.groupBy("number").agg(F.count("*").alias("repos")).join(first, "number").join(second, "number", "left")
     refs = current_chunks(spark, folder, "project", "text").where("project is not null").select("rid", "project", F.explode(T.issue_numbers(F.col("text"), 1 << 20)).alias("number")).withColumn("number", F.col("number").cast("string"))
-    repos = lambda own: F.array_distinct(F.transform(F.filter("where", lambda x: (x["project"] == F.col("project")) == F.lit(own)), lambda x: x["repo"]))
-    j = refs.join(k, "number", "left").withColumn("own", F.array_max(repos(True))).withColumn("others", F.coalesce(F.size(repos(False)), F.lit(0))).withColumn("other", F.array_min(repos(False)))
-    repo = F.when(F.col("own").isNotNull(), F.col("own")).when(F.col("others") >= 1, F.col("other")).otherwise(F.col("project"))
-    sure = F.when(F.col("own").isNotNull() | (F.col("where").isNull()) | (F.col("others") <= 0), 1.0).when(F.col("others") == 1, 0.5).otherwise(0.3)
+    j = refs.join(all_, "number", "left").join(own.drop("low"), ["number", "project"], "left").join(only, ["number", "project"], "left")
+    others = F.coalesce(F.col("repos") - F.coalesce("only_here", F.lit(0)), F.lit(0))
+    other = F.when(F.col("first.project") != F.col("project"), F.col("first.low")).otherwise(F.col("second"))
+    repo = F.when(F.col("own").isNotNull(), F.col("own")).when(others >= 1, other).otherwise(F.col("project"))
+    sure = F.when(F.col("own").isNotNull() | (others <= 0), 1.0).when(others == 1, 0.5).otherwise(0.3)
     return j.select("rid", "number", repo.alias("repo"), sure.alias("certainty"))
 
 

@@ -83,8 +83,8 @@ def lru_evictable(spark: SparkSession, folder: str) -> DataFrame:
 def lru_prune(spark: SparkSession, folder: str) -> DataFrame:
     """What goes when a cache of a hundred is pruned to nine tenths."""
     last = _events(spark, folder).groupBy("user_id").agg(F.max("us").alias("last"))
-    n = last.count()
-    return last.orderBy("last", "user_id").limit(max(0, n - 100 + 10)).select("user_id")
+    kept = last.orderBy(F.desc("last"), F.desc("user_id")).limit(90).select("user_id")
+    return last.select("user_id").join(F.broadcast(kept), "user_id", "left_anti")  # ninety rows
 
 
 @QUERIES.add("running_zscore", "SELECT event_id, floor((value - avg(value) OVER w) / (stddev_pop(value) OVER w + 0.000000001) * 1000 + 0.5)::BIGINT AS thousandths FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
