@@ -100,7 +100,8 @@ def cuts(text: str, limit: int = 2400, overlap: int = 200) -> list[tuple[int, in
 
 def _pieces(key: str, carried: list[str], text: str, limit: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # a few texts at a time, lest the pieces of very long ones outgrow a batch
+        for batch in (b.slice(at, 32) for b in batches for at in range(0, b.num_rows, 32)):
             rows, columns = [], [[] for _ in range(7)]
             for i, x in enumerate(batch.column(text).to_pylist()):
                 whole = cuts(x, limit, overlap)

@@ -1,5 +1,6 @@
 """Splitting: pieces tile, stay under the limit, overlap, and are forced only where there is no boundary."""
 
+import random
 import re
 from datetime import datetime
 
@@ -67,3 +68,21 @@ def test_operator(spark):
 @pytest.mark.parametrize("text", ["", "a", "a" * 2400])
 def test_small(text):
     assert split.cuts(text) == [(0, len(text), False)]
+
+
+def test_pieces_end_where_topics_change():
+    """Of texts of six topics without a word in common, most cuts at the ends of lines fall where the topic changes."""
+    rnd = random.Random(8)
+    hits = total = 0
+    for _ in range(20):
+        lines, ends = [], set()
+        for topic in range(6):
+            words = [f"t{topic}w{i}" for i in range(12)]
+            lines += [" ".join(rnd.choice(words) for _ in range(10)) + "." for _ in range(rnd.randrange(22, 32))]
+            ends.add(sum(len(x) + 1 for x in lines))
+        text = "\n".join(lines)
+        for _, end, forced in split.cuts(text)[:-1]:
+            assert not forced
+            hits += any(abs(end - e) <= 1 for e in ends)
+            total += 1
+    assert hits >= 0.7 * total
