@@ -22,4 +22,5 @@ def test_matches_sql(spark, db, name):
 @pytest.mark.parametrize("name", sorted(n for n, q in catalog.QUERIES.items() if not q.sql))
 def test_runs(spark, name):
     df = catalog.QUERIES[name].run(spark, FOLDER)
-    assert df.columns and df.count() >= 0
+    # the smallest tables hold no comments of code
+    assert df.columns and (df.count() > 0 or name == "code_comments")
