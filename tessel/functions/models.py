@@ -85,11 +85,6 @@ def softmax(scores: Column, temperature: float = 1.0) -> Column:
     return F.transform(x, lambda v: v / total)
 
 
-def yes_probability(yes: Column, no: Column) -> Column:
-    """The softmax of two logits."""
-    return 1.0 / (1.0 + F.exp(no - yes))
-
-
 def option_scores(tokens: DataFrame, option: str, logprob: str) -> DataFrame:
     """(option, total, mean): the summed and the mean log-probability of each option's tokens."""
     return tokens.groupBy(option).agg(F.sum(logprob).alias("total"), F.avg(logprob).alias("mean"))

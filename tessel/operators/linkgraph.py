@@ -2,26 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessel.functions.references import Parser
 from tessel.operators.chunking import references
-from tessel.operators.graph import strongest
+from tessel.operators.graph import edge_confidence, strongest
 from tessel.operators.nodeids import folded
 
-#: How sure a reference is by the way it is written, before what is known of its target. Fixed values.
-BASE = {"url": 1.0, "qual": 1.0, "sha": 0.95, "legacy": 0.9, "bare": 0.8}
-
-
-def edge_confidence(via: Column, certainty: Column) -> Column:
-    """The confidence of a text's reference: its form's base times how certain its target is."""
-    base = F.lit(0.5)
-    for form, sure in BASE.items():
-        base = F.when(via == form, sure).otherwise(base)
-    return base * certainty
-
-
 def link_targets(refs: DataFrame, repo: str) -> DataFrame:
     """References (kind, repo, ref) with ``target``, the id of the node they name; those without a repo are in the text's own, ``repo``."""
     where = F.coalesce(F.col("repo"), F.col(repo))
@@ -45,21 +33,21 @@ def resolved_commits(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def build_edges(texts: DataFrame, parser: Parser, nodes: DataFrame) -> DataFrame:
-    """Edges (src, dst, type, conf, how, snip, known) of the references in ``texts`` (key, node, repo, text), ``nodes`` having ids.
+    """Edges (src, dst, type, conf, how, snip, known) of the references in ``texts`` (key, node, repo, how, text), ``nodes`` having ids; ``how`` says what the text is.
 
     A closing reference makes an edge of type closes, any other one of type mentions; of several of one kind between two nodes the
     surest stays, and a mention goes where the same two nodes are joined by a closing. ``known`` is false for a dangling end, whose
-    target no node has; its certainty is a half. A node's references to itself are none. Rows without a node or text give no edge.
+    target no node has; its certainty is a half. Confidence is the base of ``how``, or of closing, times that. A node's references to itself are none. Rows without a node or text give no edge.
     """
-    own = texts.where("node is not null and text is not null").select("key", folded(F.col("node")).alias("src"), F.lower("repo").alias("own_repo"), "text")
-    refs = references(own.select("key", "text"), "key", "text", parser).join(own.select("key", "src", "own_repo"), "key")
+    own = texts.where("node is not null and text is not null").select("key", folded(F.col("node")).alias("src"), F.lower("repo").alias("own_repo"), "how", "text")
+    refs = references(own.select("key", "text"), "key", "text", parser).join(own.select("key", "src", "own_repo", "how"), "key")
     edges = link_targets(refs, "own_repo").where("target is not null and target != src")
-    edges = edges.select("src", F.col("target").alias("dst"), F.when(F.col("closing") & (F.col("kind") == "issue"), "closes").otherwise("mentions").alias("type"), "via", "snip")
+    edges = edges.select("src", F.col("target").alias("dst"), F.when(F.col("closing") & (F.col("kind") == "issue"), "closes").otherwise("mentions").alias("type"), F.when(F.col("closing"), "closing").otherwise(F.col("how")).alias("how"), "snip")
     edges = resolved_commits(edges, nodes)
     known = nodes.select(folded(F.col("id")).alias("dst")).where("dst is not null").distinct().withColumn("known", F.lit(True))
     edges = edges.join(known, "dst", "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    edges = edges.withColumn("conf", edge_confidence(F.col("via"), F.when(F.col("known"), 1.0).otherwise(0.5)))
-    return strongest(edges.withColumnRenamed("via", "how"))
+    edges = edges.withColumn("conf", edge_confidence(F.col("how"), F.when(F.col("known"), 1.0).otherwise(0.5)))
+    return strongest(edges)
 
 
 def dangling(edges: DataFrame) -> DataFrame:
