@@ -4,6 +4,7 @@ import heapq
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +72,14 @@ def test_touching_clusters_are_those_of_all_pairs(spark, block, sample):
     assert len(set(peak.tolist())) > 1 and (same == 1 if sample >= 1200 else same > 0.98)
 
 
+def test_pointers_do_not_depend_on_the_order_of_rows():
+    rng = np.random.default_rng(4)
+    v = (np.ones(SIZE) + 0.5 * rng.normal(size=(50, SIZE))).astype(np.float32)
+    group = pa.table({"key": pa.array(range(50)), "v": pa.array([vectors.encode(x) for x in v], pa.binary()), "density": rng.uniform(1, 9, 50), "member": [True] * 50, "visitor": [True] * 50})
+    want, got = (density._pointers(SIZE, 0.5)(g).to_pylist() for g in (group, group.take(rng.permutation(50))))
+    assert sorted((r["key"], r["to"]) for r in got) == sorted((r["key"], r["to"]) for r in want)
+
+
 def test_follow(spark):
     rows = [(i, i - 1) for i in range(1, 40)] + [(100, 5)]
     got = {r.key: r.peak for r in density.follow(spark.createDataFrame(rows, "key long, to long")).collect()}
