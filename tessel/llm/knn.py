@@ -1,8 +1,9 @@
 """The k most similar vectors of every vector: forests of random-projection trees, one priority queue, exact reranking.
 
-A trunk, one random-projection tree over a bounded sample, divides all vectors into cells of about ``cell`` rows; it is all that is
-broadcast. A vector belongs to one cell and visits those whose hyperplanes it lies beyond by no more than ``slack``, which is the
-least that keeps the recall aimed at, measured on the sample against brute force. In each cell its task grows a forest over all its
+A trunk divides all vectors into cells of about ``cell`` rows; it and bits that number rows are all that is broadcast. It is one
+random-projection tree over a bounded sample or, where vectors then visit fewer cells, the pivots of a cover of the sample. A vector
+belongs to one cell and visits those whose hyperplanes it lies beyond, or whose pivots are less similar than its own, by no more than
+``slack``, which is the least that keeps the recall aimed at, measured on the sample against brute force. In each cell its task grows a forest over all its
 members, down to leaves of ``leaf`` rows whatever the size of the data (a cell of eight leaves or less is one). A visitor's leaves, of all trees, come through one priority
 queue: best first by the smallest signed distance to the hyperplanes on the way, until they hold as many candidates as the recall
 takes, which is measured in that cell against brute force. Where it takes half of the cell, all its members are candidates. Best-first
@@ -22,8 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessel.llm.vectors import copies_of, decode, first_copies, raw
-from tessel.plans.staging import stage
+from tessel.llm.density import cover
+from tessel.llm.vectors import copies_of, decode, raw
+from tessel.plans.staging import numbered, stage
 
 
 class Forest:
@@ -67,10 +69,10 @@ class Forest:
         #: The first leaf of each tree, and the end.
         self.starts = np.array([*starts, len(self.sizes)])
 
-    @staticmethod
-    def of(state: dict) -> Forest:
+    @classmethod
+    def of(cls, state: dict) -> Forest:
         """A forest from its plain values, which is how it is broadcast."""
-        f = Forest.__new__(Forest)
+        f = cls.__new__(cls)
         f.__dict__.update(state)
         return f
 
@@ -147,11 +149,51 @@ class Forest:
         return float(np.sort(slack)[i]), float(np.sort(seen)[i])
 
 
-def _routed(trunk, size: int, slack: float, member_parts, visitor_parts):
+class Pivots(Forest):
+    """Cells of a cover's pivots: a vector is in the cell of its most similar pivot, and a cell's priority is how much less similar
+    the best of its own pivots is. Groups that stand apart have pivots of their own, so that no cell cuts one in two, where hyperplanes
+    through a great many groups must. Pivots that lie together, by a tree over them, share a cell.
+    """
+
+    def __init__(self, x: np.ndarray, cut: float, cells: int, most: int = 8192):
+        pivots = x[cover(x, cut, most)]
+        groups = Forest(pivots, 1, max(1, len(pivots) // cells), lines=8, part=1024).leaves
+        self.pivots = pivots[np.concatenate(groups)]
+        self.first = np.cumsum([0, *map(len, groups[:-1])])
+        self.starts = np.array([0, len(groups)])
+        home = [self.own(self.priorities(x[i : i + 1024]))[:, 0] for i in range(0, len(x), 1024)]
+        self.sizes = np.bincount(np.concatenate(home), minlength=len(groups))
+
+    def priorities(self, u: np.ndarray) -> np.ndarray:
+        best = np.maximum.reduceat(u @ self.pivots.T, self.first, axis=1)
+        return best - best.max(axis=1, keepdims=True)
+
+
+def fit_trunk(x: np.ndarray, cells: int, k: int, recall: float) -> tuple[Forest, float, np.ndarray]:
+    """The trunk under which the sample's rows visit the fewest cells for the recall, the slack, and the sample's visits by cell.
+
+    Compared are the tree and covers of three cut-offs, which follow the similarity of the sample's nearest neighbours.
+    """
+    trunks = [Forest(x, 1, max(16, len(x) // cells), lines=8, part=1024)]
+    if cells > 1 and len(x) > 1:
+        s = x[:1024] @ x.T
+        np.fill_diagonal(s, -9)
+        typical = max(0.0, float(np.quantile(s.max(axis=1), 0.05)))
+        trunks += [Pivots(x, cut, cells) for cut in sorted({round(typical**e, 6) for e in (2, 4, 8)}) if cut > 0]
+    best = None
+    for trunk in trunks:
+        slack = trunk.needed(x, k, recall, 1024)[0]
+        visits = sum(((trunk.priorities(x[i : i + 1024]) >= -slack).sum(axis=0) for i in range(0, len(x), 1024)), np.zeros(len(trunk.sizes), np.int64))
+        if best is None or visits.sum() < best[2].sum():
+            best = trunk, slack, visits
+    return best
+
+
+def _routed(kind: type[Forest], trunk, size: int, slack: float, member_parts, visitor_parts):
     """Rows (cell, mpart, vpart, member, visitor, key, v) for the index and the queries, one for both where they coincide."""
 
     def run(batches):
-        f = Forest.of(trunk.value)
+        f = kind.of(trunk.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
@@ -272,22 +314,21 @@ def nearest_neighbours(
     """
     spark = points.sparkSession
     copied = copies_of(points)
-    reps = first_copies(points, copied).select("key", "v")
+    first = points.groupBy("digest").agg(F.min(F.struct("key", "row")).alias("x")).select("x.row")
+    reps = numbered(points, stage(first, "reps")).select("key", "v")
     n = points.count()
     cells = max(1, round(n / cell))
     got = reps.orderBy(F.xxhash64("key"), "key").limit(sample).select("v").collect() if cells > 1 else []
     fitted = decode([r.v for r in got], size)
     got = len(got)
-    trunk = Forest(fitted, 1, max(16, got // cells), lines=8, part=1024)
     # among the sample's rows as many stand for the k nearest as their share of all rows
-    slack = trunk.needed(fitted, max(1, round(k * got / max(1, n))), 1 - (1 - recall) / 2, 1024)[0]
+    trunk, slack, visits = fit_trunk(fitted, cells, max(1, round(k * got / max(1, n))), 1 - (1 - recall) / 2)
     share = got or 1
-    visits = sum((trunk.priorities(fitted[i : i + 1024]) >= -slack).sum(axis=0) for i in range(0, max(1, len(fitted)), 1024))
     member_parts = np.maximum(1, np.ceil(trunk.sizes / share * n / cap)).astype(np.int64)
     visitor_parts = np.maximum(1, np.ceil(visits / share * n / (2 * cap))).astype(np.int64)
     trunk.leaves = []
     routed = reps.mapInArrow(
-        _routed(spark.sparkContext.broadcast(vars(trunk)), size, slack, member_parts, visitor_parts), "cell int, mpart int, vpart int, member boolean, visitor boolean, key long, v binary"
+        _routed(type(trunk), spark.sparkContext.broadcast(vars(trunk)), size, slack, member_parts, visitor_parts), "cell int, mpart int, vpart int, member boolean, visitor boolean, key long, v binary"
     )
     lists = routed.groupBy("cell", "mpart", "vpart").applyInArrow(
         _nearest(size, k, trees, leaf, 1 - (1 - recall) / 2, candidates), "key long, near array<struct<sim:double,to:long>>"

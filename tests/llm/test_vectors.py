@@ -180,3 +180,28 @@ def test_few(spark, n):
     got = found(spark, rows)
     assert {k: len(v) for k, v in got.items()} == ({} if n < 2 else {i: n - 1 for i in range(n)})
     assert frame(spark, rows).where(F.col("key") < 0).count() == 0
+
+
+def test_many_groups_are_not_cut(spark):
+    """300 groups in 64 dimensions: cells hold whole groups, so that vectors visit few of them, and recall stays."""
+    rng = np.random.default_rng(12)
+    x = np.repeat(rng.normal(size=(300, 64)), 20, axis=0) + 0.6 * rng.normal(size=(6000, 64))
+    x = rng.permutation(x).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    trunk, slack, visits = knn.fit_trunk(x, 24, 8, 0.975)
+    assert visits.sum() <= 2 * len(x) and trunk.sizes.sum() == len(x)
+    s = x[:200] @ x.T
+    s[np.arange(200), np.arange(200)] = -9
+    best = np.argsort(-s, axis=1)[:, :8]
+    home = trunk.own(trunk.priorities(x))[:, 0]
+    assert np.mean(np.take_along_axis(trunk.priorities(x[:200]) >= -slack, home[best], axis=1)) >= 0.95
+
+
+def test_vectors_are_not_shuffled(spark):
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = frame(spark, planted(each=2) * 2).select("key", "v")._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and frame(spark, planted(each=2) * 2).count() == 34
