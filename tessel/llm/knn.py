@@ -165,7 +165,8 @@ class Pivots(Forest):
         self.sizes = np.bincount(np.concatenate(home), minlength=len(groups))
 
     def priorities(self, u: np.ndarray) -> np.ndarray:
-        best = np.maximum.reduceat(u @ self.pivots.T, self.first, axis=1)
+        parts = range(0, max(1, len(u)), 1024)
+        best = np.concatenate([np.maximum.reduceat(u[i : i + 1024] @ self.pivots.T, self.first, axis=1) for i in parts])
         return best - best.max(axis=1, keepdims=True)
 
 
